@@ -344,13 +344,15 @@ def _newton_step(table: DataFrame, group: Sequence[str], h: float) -> DataFrame:
     half = (F.col("hxx") - F.col("hyy")) / 2.0
     least = (F.col("hxx") + F.col("hyy")) / 2.0 - F.sqrt(half * half + F.col("hxy") * F.col("hxy"))
     # Where the surface is not convex, lift its least curvature above zero.
-    lift = F.col("damp") + F.when(least < 1e-3, 1e-2 - least).otherwise(0.0)
+    lift = F.col("damp") + F.when(least < 1e-6, 1e-2 - least).otherwise(0.0)
     table = table.withColumns({"_a": F.col("hxx") + lift, "_b": F.col("hyy") + lift})
     det = F.col("_a") * F.col("_b") - F.col("hxy") * F.col("hxy")
     dx = F.try_divide(F.col("hxy") * F.col("gy") - F.col("_b") * F.col("gx"), det)
     dy = F.try_divide(F.col("hxy") * F.col("gx") - F.col("_a") * F.col("gy"), det)
     bound = lambda d: F.greatest(F.least(F.coalesce(d, F.lit(0.0)), F.lit(2.0)), F.lit(-2.0))
-    small = F.greatest(F.abs("_dx"), F.abs("_dy")) < 1e-5
+    # Done when neither the point nor, on a ridge towards rho = 1, the objective moves.
+    gain = -0.5 * (F.col("gx") * F.col("_dx") + F.col("gy") * F.col("_dy"))
+    small = (F.greatest(F.abs("_dx"), F.abs("_dy")) < 1e-5) | (gain < 1e-9 * (1.0 + F.abs("f")))
     table = table.withColumns({"_dx": bound(dx), "_dy": bound(dy)})
     return table.withColumns(
         {"try_x": F.col("x") + F.col("_dx"), "try_y": F.col("y") + F.col("_dy"), "done": small}

@@ -18,17 +18,14 @@ BLOCK = "_block"
 SALT = "_salt"
 
 
-def blocks_in_order(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(BLOCK)
+def blocks_in_order(keys: Sequence[str], backwards: bool = False) -> WindowSpec:
+    """The blocks of a series, first to last or last to first."""
+    return Window.partitionBy(*keys).orderBy(F.desc(BLOCK) if backwards else F.asc(BLOCK))
 
 
-def within_block(keys: Sequence[str], time: str) -> WindowSpec:
-    return Window.partitionBy(*keys, BLOCK).orderBy(time)
-
-
-def whole_block(keys: Sequence[str], time: str) -> WindowSpec:
-    # Ordered like the other windows, so that Spark runs them in one sort.
-    return everything(within_block(keys, time))
+def within_block(keys: Sequence[str], time: str, backwards: bool = False) -> WindowSpec:
+    """The rows of a block, first to last or last to first."""
+    return Window.partitionBy(*keys, BLOCK).orderBy(F.desc(time) if backwards else F.asc(time))
 
 
 def so_far(over: WindowSpec) -> WindowSpec:
@@ -36,21 +33,20 @@ def so_far(over: WindowSpec) -> WindowSpec:
 
 
 def earlier(over: WindowSpec) -> WindowSpec:
+    # Frames that end at the last row cost the square of their length; to look ahead,
+    # take this one over the backwards order.
     return over.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def later(over: WindowSpec) -> WindowSpec:
-    return over.rowsBetween(1, Window.unboundedFollowing)
-
-
-def onwards(over: WindowSpec) -> WindowSpec:
-    return over.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-
-
 def everything(over: WindowSpec) -> WindowSpec:
     return over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
+def whole_block(keys: Sequence[str], time: str) -> WindowSpec:
+    # Ordered like the other windows, so that Spark runs them in one sort.
+    return everything(within_block(keys, time))
+
+
 def add_block(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.withColumn(BLOCK, spec.block())
 
@@ -59,16 +55,16 @@ def with_context(
     df: DataFrame,
     keys: Sequence[str],
     summaries: Sequence[Column],
-    context: Callable[[WindowSpec], dict[str, Column]],
+    context: Callable[[Sequence[str]], dict[str, Column]],
 ) -> DataFrame:
     """Add per-block columns derived from all blocks of the same series.
 
     ``summaries`` aggregate one block; ``context`` turns the summary columns into
-    the wanted ones, given a window over the blocks of a series in order. The rows
-    are joined by ``(keys, block)``, the partitioning that windows inside blocks use.
+    the wanted ones by windows over the blocks of a series. The rows are joined by
+    ``(keys, block)``, the partitioning that windows inside blocks use.
     """
     table = df.groupBy(*keys, BLOCK).agg(*summaries)
-    columns = [c.alias(n) for n, c in context(blocks_in_order(keys)).items()]
+    columns = [c.alias(n) for n, c in context(keys).items()]
     return df.join(table.select(*keys, BLOCK, *columns), [*keys, BLOCK])
 
 
@@ -97,7 +93,7 @@ def next_row(df: DataFrame, keys: Sequence[str], spec: PanelSpec, outputs: dict[
             df,
             keys,
             [F.min_by(c, spec.time).alias(f"_first_{c}") for c in names],
-            lambda over: {edge: F.lead(first, 1).over(over)},
+            lambda series: {edge: F.lead(first, 1).over(blocks_in_order(series))},
         )
     df = neighbour(df, keys, spec.time, names, 1, edge)
     df = df.withColumns({out: F.col("_adjacent")[name] for out, name in outputs.items()})

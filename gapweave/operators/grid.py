@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.operators.blocks import (
     BLOCK,
@@ -29,12 +29,12 @@ class Context:
     ``summaries`` aggregate the data rows of one ``(series, block)``. ``block`` turns
     them into one small row per block; it may use ``_run`` (the grid times of the
     block) and ``_offset`` (how many grid times came before). ``columns`` derives the
-    wanted columns from those rows, given a window over the blocks in order.
+    wanted columns from those rows by windows over the blocks of a series.
     """
 
     summaries: Sequence[Column]
     block: dict[str, Column]
-    columns: Callable[[WindowSpec], dict[str, Column]]
+    columns: Callable[[Sequence[str]], dict[str, Column]]
 
 
 def observed_runs(df: DataFrame, spec: PanelSpec, start: int | None = None, *aggs: Column) -> DataFrame:
@@ -91,7 +91,7 @@ def _series_blocks(
         # The times stay behind: only small rows are gathered per series.
         table = table.select(*spec.series, BLOCK, *own)
         for c in contexts:
-            columns.update(c.columns(blocks_in_order(spec.series)))
+            columns.update(c.columns(spec.series))
         pairs = table.select(*spec.series, BLOCK, *(v.alias(n) for n, v in columns.items()))
     return pairs.join(runs, [*spec.keys, BLOCK]), list(columns)
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.operators.blocks import (
     BLOCK,
     add_block,
+    blocks_in_order,
     earlier,
     everything,
-    later,
-    onwards,
     so_far,
     whole_block,
     with_context,
@@ -33,13 +32,14 @@ def abscissa(by: str, spec: PanelSpec) -> str:
     return names[by]
 
 
-def _carried(columns: Sequence[str], over: WindowSpec) -> dict[str, Column]:
+def _carried(columns: Sequence[str], keys: Sequence[str]) -> dict[str, Column]:
     """Rows of the series; known points nearest to a block in earlier and later ones."""
-    out = {"_rows": F.sum("_size").over(everything(over))}
+    forwards, backwards = blocks_in_order(keys), blocks_in_order(keys, backwards=True)
+    out = {"_rows": F.sum("_size").over(everything(forwards))}
     for c in columns:
-        out[f"_before_{c}"] = F.last(f"_last_{c}", ignorenulls=True).over(earlier(over))
-        out[f"_after_{c}"] = F.first(f"_first_{c}", ignorenulls=True).over(later(over))
-        out[f"_n_{c}"] = F.sum(f"_known_{c}").over(everything(over))
+        out[f"_before_{c}"] = F.last(f"_last_{c}", ignorenulls=True).over(earlier(forwards))
+        out[f"_after_{c}"] = F.last(f"_first_{c}", ignorenulls=True).over(earlier(backwards))
+        out[f"_n_{c}"] = F.sum(f"_known_{c}").over(everything(forwards))
     return out
 
 
@@ -62,7 +62,7 @@ def interpolation_context(columns: Sequence[str], spec: PanelSpec, x: str) -> Co
             point = _point(pos, pos if x == POS else t, F.col(f"_{end}_v_{c}"))
             block[f"_{end}_{c}"] = F.when(t.isNotNull(), point)
         block[f"_known_{c}"] = F.col(f"_known_{c}")
-    return Context(summaries, block, lambda over: _carried(columns, over))
+    return Context(summaries, block, lambda keys: _carried(columns, keys))
 
 
 def interpolate_blocks(
@@ -82,13 +82,14 @@ def interpolate_blocks(
     Unless the panel fits into one block, the rows carry the columns of
     :func:`interpolation_context`.
     """
-    over, whole = within_block(keys, spec.time), whole_block(keys, spec.time)
+    forwards, backwards = within_block(keys, spec.time), within_block(keys, spec.time, backwards=True)
+    whole = whole_block(keys, spec.time)
     ends = [] if not spec.one_block else [(F.max(POS).over(whole) + 1).alias("_rows")]
     helpers = ["_rows"]
     for c in columns:
         here = F.when(F.col(c).isNotNull(), _point(F.col(POS), F.col(x), F.col(c)))
-        p = F.last(here, ignorenulls=True).over(so_far(over))
-        q = F.first(here, ignorenulls=True).over(onwards(over))
+        p = F.last(here, ignorenulls=True).over(so_far(forwards))
+        q = F.last(here, ignorenulls=True).over(so_far(backwards))
         if spec.one_block:
             ends.append(F.count(c).over(whole).alias(f"_n_{c}"))
         else:
@@ -131,7 +132,9 @@ def interpolate(
             rows,
             keys,
             [F.count(F.lit(1)).alias("_size")],
-            lambda over: {OFFSET: F.coalesce(F.sum("_size").over(earlier(over)), F.lit(0))},
+            lambda series: {
+                OFFSET: F.coalesce(F.sum("_size").over(earlier(blocks_in_order(series))), F.lit(0))
+            },
         )
         rows = rows.withColumn(POS, F.col(OFFSET) + F.col(POS)).drop(OFFSET)
         summaries = [F.count(F.lit(1)).alias("_size")]
@@ -143,5 +146,5 @@ def interpolate(
                 F.min_by(point, at).alias(f"_first_{c}"),
                 F.count(c).alias(f"_known_{c}"),
             ]
-        rows = with_context(rows, keys, summaries, lambda over: _carried(columns, over))
+        rows = with_context(rows, keys, summaries, lambda series: _carried(columns, series))
     return interpolate_blocks(rows, keys, spec, columns, x=x, maxgap=maxgap).drop(BLOCK, POS)

@@ -96,11 +96,11 @@ def reference_ratio(
 def _mean_cv_context(spec: PanelSpec) -> Context:
     m = spec.measures[0]
     one = cv(m, spec.var(m))
-    total = lambda c, over: F.sum(c).over(everything(over))
+    total = lambda c, keys: F.sum(c).over(everything(blocks_in_order(keys)))
     return Context(
         [F.sum(one).alias("_cv_sum"), F.count(one).alias("_cv_n")],
         {"_cv_sum": F.col("_cv_sum"), "_cv_n": F.col("_cv_n")},
-        lambda over: {"_mean_cv": F.try_divide(total("_cv_sum", over), total("_cv_n", over))},
+        lambda keys: {"_mean_cv": F.try_divide(total("_cv_sum", keys), total("_cv_n", keys))},
     )
 
 
@@ -112,7 +112,7 @@ def _lag_context(spec: PanelSpec) -> Context:
     return Context(
         [F.max(time).alias("_last_t"), *(F.max_by(m, time).alias(f"_last_{m}") for m in measures)],
         {"_last_cell": edge},
-        lambda over: {"_edge": F.lag("_last_cell", 1).over(over)},
+        lambda keys: {"_edge": F.lag("_last_cell", 1).over(blocks_in_order(keys))},
     )
 
 
