@@ -30,6 +30,8 @@ from gapweave.storage import materialize
 MEASURE = "measure"
 GROUP = "_super"
 RADIX = 1024  # blocks per group of blocks: no array is longer, whatever the series
+CHUNK = 32  # rows worked through in one go; results are appended, at a cost of its square
+EDGES = ("_m", "_p", "_eta", "_j")  # state before a block and information after it
 LEAST = 1e-200  # keeps the innovation variance above zero at rho = 1
 
 Params = tuple[float, float] | DataFrame
@@ -158,7 +160,7 @@ def _with_params(series: DataFrame, params: Params) -> DataFrame:
 # --- states at the edges of blocks ----------------------------------------------------
 
 
-def _scan(parts: Column, m: Column, p: Column, eta: Column, j: Column) -> list[Column]:
+def _scan(parts: Column, m: Column, p: Column, eta: Column, j: Column) -> tuple[Column, Column]:
     """For each run in ``parts``: the state before it and the information after it."""
 
     def forward(acc, part):
@@ -178,13 +180,43 @@ def _scan(parts: Column, m: Column, p: Column, eta: Column, j: Column) -> list[C
         backward,
         lambda acc: acc["out"],
     )
-    return [F.transform(parts, lambda x: x["id"]).alias("id"), ahead.alias("f"), F.reverse(behind).alias("s")]
+    return ahead, F.reverse(behind)
+
+
+def _in_chunks(work, edges: Sequence[Column]) -> Column:
+    """Apply ``work(obs, m, p, eta, j)`` to the rows of a block, chunk by chunk.
+
+    A long block is treated like a series of short blocks: fold each chunk, scan the
+    folds for the states at the edges, then work inside the chunks.
+    """
+    obs = F.col("obs")
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(obs) - 1) / F.lit(CHUNK)).cast("int")),
+        lambda i: _struct(rows=F.slice(obs, i * CHUNK + 1, F.lit(CHUNK))),
+    )
+
+    def inside(parts):
+        ahead, behind = _scan(parts, *edges)
+        whole = F.zip_with(
+            F.zip_with(parts, ahead, lambda x, f: _struct(rows=x["rows"], f=f)),
+            behind,
+            lambda x, s: work(x["rows"], x["f"]["m"], x["f"]["p"], s["eta"], s["j"]),
+        )
+        return F.flatten(whole)
+
+    folded = F.transform(
+        chunks, lambda c: _struct(rows=c["rows"], e=_fold_rows(c["rows"], F.col("_rho"), F.col("_q")))
+    )
+    return F.when(F.size(obs) <= CHUNK, work(obs, *edges)).otherwise(_let(folded, inside))
 
 
 def _edges(series: DataFrame, key: Sequence[str]) -> DataFrame:
     """Per block: filtered state before it (``_m, _p``), information after it (``_eta, _j``)."""
 
-    def unzip(df: DataFrame, name: str, keep: Sequence[str]) -> DataFrame:
+    def unzip(df: DataFrame, state: Sequence[Column], name: str, keep: Sequence[str]) -> DataFrame:
+        ahead, behind = _scan(F.col("_parts"), *state)
+        ids = F.transform("_parts", lambda x: x["id"])
+        df = df.select(*keep, ids.alias("id"), ahead.alias("f"), behind.alias("s"))
         out = df.select(*keep, F.explode(F.arrays_zip("id", "f", "s")).alias("z"))
         state = {"_m": "z.f.m", "_p": "z.f.p", "_eta": "z.s.eta", "_j": "z.s.j"}
         return out.select(*keep, F.col("z.id").alias(name), *(F.col(v).alias(k) for k, v in state.items()))
@@ -204,17 +236,14 @@ def _edges(series: DataFrame, key: Sequence[str]) -> DataFrame:
     whole = runs(groups.withColumn("e", _fold_parts(F.col("_parts"))), key, GROUP)
     zero = F.lit(0.0)
     # The state before the first row has the stationary distribution.
-    top = whole.select(*key, *_scan(F.col("_parts"), zero, F.col("_p0"), zero, zero))
-    top = unzip(top, GROUP, key)
-    inner = groups.join(top, [*key, GROUP])
-    state = [F.col(c) for c in ("_m", "_p", "_eta", "_j")]
-    return unzip(inner.select(*key, *_scan(F.col("_parts"), *state)), BLOCK, key)
+    top = unzip(whole, [zero, F.col("_p0"), zero, zero], GROUP, key)
+    return unzip(groups.join(top, [*key, GROUP]), [F.col(c) for c in EDGES], BLOCK, key)
 
 
 def _with_edges(series: DataFrame, spec: PanelSpec) -> DataFrame:
     if spec.one_block:
         zero = F.lit(0.0)
-        return series.withColumns({"_m": zero, "_p": F.col("_p0"), "_eta": zero, "_j": zero})
+        return series.withColumns(dict(zip(EDGES, (zero, F.col("_p0"), zero, zero))))
     key = [c for c in series.columns if c not in (BLOCK, "obs", "log_pe", "logit_rho", "_p0", "_rho", "_q")]
     key = [c for c in key if not c.startswith("cov_")]
     return series.join(_edges(series, key), [*key, BLOCK])
@@ -248,8 +277,11 @@ def ar1_filter(series: DataFrame, params: Params, spec: PanelSpec = PANEL) -> Da
 
     time_type = spec_time_type(series)
     fields = f"t:{time_type},m_pred:double,p_pred:double,m:double,p:double,nll:double"
-    start = _struct(m=F.col("_m"), p=F.col("_p"), out=_empty(fields))
-    out = rows.select(*key, F.inline(F.aggregate("obs", start, step, lambda acc: acc["out"])))
+
+    def work(obs, m, p, eta, j):
+        return F.aggregate(obs, _struct(m=m, p=p, out=_empty(fields)), step, lambda acc: acc["out"])
+
+    out = rows.select(*key, F.inline(_in_chunks(work, [F.col(c) for c in EDGES])))
     return out.withColumnRenamed("t", spec.time)
 
 
@@ -451,16 +483,19 @@ def _smooth(rows: DataFrame, keep: Sequence[str], time_type: str) -> DataFrame:
 
         return _let(_row(x, rho, q), update)
 
-    filtered = F.aggregate(
-        "obs", _struct(m=F.col("_m"), p=F.col("_p"), out=_empty(kept)), forward, lambda acc: acc["out"]
-    )
-    smoothed = F.aggregate(
-        F.reverse(filtered),
-        _struct(eta=F.col("_eta"), j=F.col("_j"), out=_empty(f"t:{time_type},mean:double,var:double")),
-        backward,
-        lambda acc: acc["out"],
-    )
-    return rows.select(*keep, F.inline(smoothed))
+    def work(obs, m, p, eta, j):
+        filtered = F.aggregate(
+            obs, _struct(m=m, p=p, out=_empty(kept)), forward, lambda acc: acc["out"]
+        )
+        smoothed = F.aggregate(
+            F.reverse(filtered),
+            _struct(eta=eta, j=j, out=_empty(f"t:{time_type},mean:double,var:double")),
+            backward,
+            lambda acc: acc["out"],
+        )
+        return smoothed
+
+    return rows.select(*keep, F.inline(_in_chunks(work, [F.col(c) for c in EDGES])))
 
 
 def ar1_predict(

@@ -37,18 +37,18 @@ class Context:
     columns: Callable[[Sequence[str]], dict[str, Column]]
 
 
-def observed_runs(df: DataFrame, spec: PanelSpec, start: int | None = None, *aggs: Column) -> DataFrame:
-    """Per key and block, the observed times in order: ``_run array<struct<time, ...>>``.
-
-    ``aggs`` summarize the rows of all areas at one time into further fields.
-    """
+def observed_times(df: DataFrame, spec: PanelSpec, start: int | None = None, *aggs: Column) -> DataFrame:
+    """One row per key and observed time, with aggregates over the rows of its areas."""
     if start is not None:
         df = df.where(F.col(spec.time) >= start)
-    times = add_block(df, spec).groupBy(*spec.keys, BLOCK, spec.time)
-    return _as_runs(times.agg(*aggs) if aggs else times.agg(F.lit(1).alias("_")).drop("_"), spec)
+    times = add_block(df, spec)
+    if not aggs:
+        return times.select(*spec.keys, BLOCK, spec.time).distinct()
+    return times.groupBy(*spec.keys, BLOCK, spec.time).agg(*aggs)
 
 
-def _as_runs(times: DataFrame, spec: PanelSpec) -> DataFrame:
+def as_runs(times: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Per key and block, its times in order: ``_run array<struct<time, ...>>``."""
     moment = F.struct(spec.time, *(c for c in times.columns if c not in (*spec.keys, BLOCK, spec.time)))
     return times.groupBy(*spec.keys, BLOCK).agg(F.sort_array(F.collect_list(moment)).alias(RUN))
 
@@ -62,7 +62,7 @@ def _whole_panel(df: DataFrame, spec: PanelSpec, areas, start) -> tuple[DataFram
     all_times = times.select(F.collect_set(spec.time)).scalar()
     series = groups.select(*spec.keys, F.explode(all_areas).alias(spec.area))
     times = add_block(groups.select(*spec.keys, F.explode(all_times).alias(spec.time)), spec)
-    return series, _as_runs(times, spec)
+    return series, as_runs(times, spec)
 
 
 def _series_blocks(
@@ -108,7 +108,7 @@ def grid_blocks(
 ) -> DataFrame:
     """The completed grid, partitioned by ``(keys, area, block)``.
 
-    ``runs`` overrides the grid times, see :func:`observed_runs`; fields beyond the
+    ``runs`` overrides the grid times, see :func:`as_runs`; fields beyond the
     time are carried to every cell of that time. The result adds ``_pos``, the rank
     of the time among the grid times of the key from 0, and, unless the panel fits
     into one block, the columns of ``contexts``.
@@ -120,7 +120,7 @@ def grid_blocks(
     named = df if areas is None else df.where(F.col(spec.area).isin(*areas))
     if nesting:
         series = named.select(*spec.series).distinct()
-        runs = observed_runs(df, spec, start) if runs is None else runs
+        runs = as_runs(observed_times(df, spec, start), spec) if runs is None else runs
     else:
         series, runs = _whole_panel(df, spec, areas, start)
     rows = named if start is None else named.where(F.col(spec.time) >= start)
@@ -176,7 +176,7 @@ def time_range(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
 
 def complete_range(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """Add a row for every whole time from the first to the last of the key."""
-    runs = _as_runs(add_block(time_range(df, spec), spec), spec)
+    runs = as_runs(add_block(time_range(df, spec), spec), spec)
     return grid_blocks(df, spec, runs=runs).drop(BLOCK, POS)
 
 

@@ -17,8 +17,9 @@ from gapweave.operators.blocks import (
     neighbour,
     whole_block,
     with_context,
+    within_block,
 )
-from gapweave.operators.grid import RUN, Context, grid_blocks, observed_runs
+from gapweave.operators.grid import RUN, Context, as_runs, grid_blocks, observed_times
 from gapweave.spec import PANEL, PanelSpec
 
 
@@ -33,32 +34,26 @@ def _ratio_runs(df: DataFrame, spec: PanelSpec, targets, reference) -> DataFrame
         value = lambda m: sum0(F.when(member, F.col(m)))
     # One reference per time, missing where no member area has a row.
     ref = F.when(F.count(F.when(member, 1)) > 0, F.struct(*(value(m).alias(m) for m in spec.measures)))
-    runs = observed_runs(df, spec, None, ref.alias("ref"))
-    carried = F.lit(None).cast(runs.schema[RUN].dataType.elementType["ref"].dataType)
-    if not spec.one_block:
+    times = observed_times(df, spec, None, ref.alias("ref"))
+    before = earlier(within_block(spec.keys, spec.time))
+    runs = as_runs(times.withColumn("prev", F.last("ref", ignorenulls=True).over(before)), spec)
+    if spec.one_block:
+        start = lambda x: x["ref"]
+    else:
         known = F.filter(RUN, lambda x: x["ref"].isNotNull())
-        runs = runs.withColumn("_last", F.try_element_at(known, F.lit(-1))["ref"])
+        last = F.try_element_at(known, F.lit(-1))["ref"]
         # Only the last references are gathered per key, not the runs.
-        last = runs.select(*spec.keys, BLOCK, "_last")
-        before = F.last("_last", ignorenulls=True).over(earlier(blocks_in_order(spec.keys)))
-        last = last.select(*spec.keys, BLOCK, before.alias("_carried"))
-        runs, carried = runs.drop("_last").join(last, [*spec.keys, BLOCK]), F.col("_carried")
-
-    def step(acc, x):
-        prev = F.when(x["ref"].isNotNull(), F.coalesce(acc["last"], x["ref"]))
-        moment = F.struct(
-            x[spec.time].alias(spec.time), x["ref"].alias("ref"), prev.alias("prev")
-        )
-        return F.struct(
-            F.coalesce(x["ref"], acc["last"]).alias("last"),
-            F.concat(acc["out"], F.array(moment)).alias("out"),
-        )
-
-    element = runs.schema[RUN].dataType.elementType
-    time_type, ref_type = element[spec.time].dataType.simpleString(), element["ref"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<{spec.time}:{time_type},ref:{ref_type},prev:{ref_type}>>")
-    start = F.struct(carried.alias("last"), empty.alias("out"))
-    return runs.select(*spec.keys, BLOCK, F.aggregate(RUN, start, step, lambda acc: acc["out"]).alias(RUN))
+        carried = F.last("_last", ignorenulls=True).over(earlier(blocks_in_order(spec.keys)))
+        table = runs.select(*spec.keys, BLOCK, last.alias("_last"))
+        runs = runs.join(table.select(*spec.keys, BLOCK, carried.alias("_carried")), [*spec.keys, BLOCK])
+        start = lambda x: F.coalesce(F.col("_carried"), x["ref"])
+
+    def moment(x):
+        # The first reference of all is compared with itself.
+        prev = F.when(x["ref"].isNotNull(), F.coalesce(x["prev"], start(x)))
+        return F.struct(x[spec.time].alias(spec.time), x["ref"].alias("ref"), prev.alias("prev"))
+
+    return runs.select(*spec.keys, BLOCK, F.transform(RUN, moment).alias(RUN))
 
 
 def reference_ratio(
