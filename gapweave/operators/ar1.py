@@ -130,11 +130,22 @@ def ar1_series(df: DataFrame, spec: PanelSpec = PANEL, *, areas: Sequence[str] |
         entries.append(_struct(**{MEASURE: m, "y": y, "r": F.when(good, r)}))
     long = df.select(*spec.cell, F.inline(F.array(*entries)))
     keyed = spec.with_(keys=(*spec.keys, MEASURE))
-    rows = grid_blocks(long, keyed, areas=areas)
+    names = F.explode(F.array(*(F.lit(m) for m in spec.measures))).alias(MEASURE)
+    rows = grid_blocks(long, keyed, areas=areas, skeleton=df.select(*spec.cell, names))
+    if not spec.one_block:
+        # Never NULL, but said here: Spark adds these tests for some of the later joins
+        # and not for others, and only equal plans share the shuffle below.
+        for c in (*keyed.series, BLOCK):
+            rows = rows.where(F.col(c).isNotNull())
+        rows = rows.where(_group_of_block().isNotNull())
     one = F.struct(F.col(spec.time).alias("t"), "y", "r")
     return rows.groupBy(*keyed.series, BLOCK).agg(F.sort_array(F.collect_list(one)).alias("obs"))
 
 
+def _group_of_block() -> Column:
+    return F.floor(F.col(BLOCK) / F.lit(RADIX))
+
+
 def _series_key(series: DataFrame) -> list[str]:
     return [c for c in series.columns if c not in (BLOCK, "obs")]
 
@@ -228,7 +239,7 @@ def _edges(series: DataFrame, key: Sequence[str]) -> DataFrame:
     blocks = series.select(
         *key,
         BLOCK,
-        F.floor(F.col(BLOCK) / F.lit(RADIX)).alias(GROUP),
+        _group_of_block().alias(GROUP),
         "_p0",
         _fold_rows(F.col("obs"), F.col("_rho"), F.col("_q")).alias("e"),
     )
@@ -296,8 +307,9 @@ def _objective(series: DataFrame, group: Sequence[str], key: Sequence[str], spec
     """
     folds = F.transform("_cands", lambda c: _fold_rows(F.col("obs"), c["rho"], c["q"]))
     p0s = F.transform("_cands", lambda c: c["p0"])
-    number = F.floor(F.col(BLOCK) / F.lit(RADIX))
-    table = series.select(*key, BLOCK, number.alias(GROUP), p0s.alias("_p0s"), folds.alias("e"))
+    table = series.select(
+        *key, BLOCK, _group_of_block().alias(GROUP), p0s.alias("_p0s"), folds.alias("e")
+    )
 
     def up(df: DataFrame, keys: Sequence[str], id_: str) -> DataFrame:
         one = F.struct(F.col(id_).alias("id"), "e")

@@ -105,9 +105,11 @@ def grid_blocks(
     runs: DataFrame | None = None,
     nesting: bool = True,
     contexts: Sequence[Context] = (),
+    skeleton: DataFrame | None = None,
 ) -> DataFrame:
     """The completed grid, partitioned by ``(keys, area, block)``.
 
+    ``skeleton`` gives the same cells as ``df`` if that is cheaper to read keys from.
     ``runs`` overrides the grid times, see :func:`as_runs`; fields beyond the
     time are carried to every cell of that time. The result adds ``_pos``, the rank
     of the time among the grid times of the key from 0, and, unless the panel fits
@@ -117,13 +119,15 @@ def grid_blocks(
     left join of the grid to the data (a cell has at most one data row) and needs a
     single shuffle whose partitioning all later steps reuse.
     """
-    named = df if areas is None else df.where(F.col(spec.area).isin(*areas))
+    wanted = F.lit(True) if areas is None else F.col(spec.area).isin(*areas)
+    skeleton = df if skeleton is None else skeleton
     if nesting:
-        series = named.select(*spec.series).distinct()
-        runs = as_runs(observed_times(df, spec, start), spec) if runs is None else runs
+        series = skeleton.where(wanted).select(*spec.series).distinct()
+        runs = as_runs(observed_times(skeleton, spec, start), spec) if runs is None else runs
     else:
-        series, runs = _whole_panel(df, spec, areas, start)
-    rows = named if start is None else named.where(F.col(spec.time) >= start)
+        series, runs = _whole_panel(skeleton, spec, areas, start)
+    rows = df.where(wanted)
+    rows = rows if start is None else rows.where(F.col(spec.time) >= start)
     extra = [f.name for f in runs.schema[RUN].dataType.elementType if f.name != spec.time]
 
     cells, context = _series_blocks(rows, series, runs, spec, contexts)
