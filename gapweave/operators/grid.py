@@ -20,6 +20,7 @@ from gapweave.spec import PANEL, PanelSpec
 POS = "_pos"
 RUN = "_run"
 OFFSET = "_offset"
+CONTEXT = "_context"
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ def _whole_panel(df: DataFrame, spec: PanelSpec, areas, start) -> tuple[DataFram
 def _series_blocks(
     df: DataFrame, series: DataFrame, runs: DataFrame, spec: PanelSpec, contexts: Sequence[Context]
 ) -> tuple[DataFrame, list[str]]:
-    """One row per ``(series, block)`` with its run, offset and context columns."""
+    """One row per ``(series, block)`` with its run, offset and context, and the names in it."""
     if spec.one_block:
         return series.join(runs, list(spec.keys)).withColumn(OFFSET, F.lit(0)), []
     # Only block numbers meet the series first, so that the join which brings the
@@ -93,6 +94,8 @@ def _series_blocks(
         for c in contexts:
             columns.update(c.columns(spec.series))
         pairs = table.select(*spec.series, BLOCK, *(v.alias(n) for n, v in columns.items()))
+        bundle = F.struct(*columns).alias(CONTEXT)
+        pairs = pairs.select(*spec.series, BLOCK, bundle)
     return pairs.join(runs, [*spec.keys, BLOCK]), list(columns)
 
 
@@ -131,8 +134,9 @@ def grid_blocks(
     extra = [f.name for f in runs.schema[RUN].dataType.elementType if f.name != spec.time]
 
     cells, context = _series_blocks(rows, series, runs, spec, contexts)
+    bundle = [CONTEXT] if context else []
     cells = cells.select(
-        *spec.series, BLOCK, OFFSET, *context, F.posexplode(RUN).alias("_i", "_moment")
+        *spec.series, BLOCK, OFFSET, *bundle, F.posexplode(RUN).alias("_i", "_moment")
     ).select(
         *spec.series,
         BLOCK,
@@ -140,7 +144,7 @@ def grid_blocks(
         (F.col(OFFSET) + F.col("_i")).cast("bigint").alias(POS),
         *(F.col("_moment")[c].alias(c) for c in extra),
         # One row per block takes the context through the shuffle.
-        *(F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in context),
+        *(F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in bundle),
     )
     both = cells.unionByName(add_block(rows, spec), allowMissingColumns=True)
     both = both.repartition(*spec.series, BLOCK)
@@ -149,7 +153,8 @@ def grid_blocks(
     if not context:
         return grid
     over = so_far(within_block(spec.series, spec.time))
-    return grid.withColumns({c: F.first(c).over(over) for c in context})
+    grid = grid.withColumn(CONTEXT, F.first(CONTEXT).over(over))
+    return grid.select("*", *(F.col(CONTEXT)[c].alias(c) for c in context)).drop(CONTEXT)
 
 
 def complete_grid(df: DataFrame, spec: PanelSpec = PANEL, *, nesting: bool = True, **options) -> DataFrame:
