@@ -193,12 +193,16 @@ def fill_ratio(
     series. ``start`` drops earlier rows last: they still serve as the row before.
     """
     runs = _ratio_runs(df, spec, targets, reference)
+    change = lambda x: F.struct(
+        x[spec.time].alias(spec.time),
+        *(F.try_divide(x["ref"][m], x["prev"][m]).alias(f"{m}_ratio") for m in spec.measures),
+    )
+    runs = runs.withColumn(RUN, F.transform(RUN, change))
     rows = grid_blocks(df, spec, runs=runs, contexts=[_lag_context(spec), _mean_cv_context(spec)])
     rows = _with_mean_cv(_with_lags(rows, spec), spec, start, early_cv)
-    ratio = lambda m: F.try_divide(F.col("ref")[m], F.col("prev")[m])
     gap = F.col(spec.area).isin(*targets)
     fills = {
-        m: F.when(gap & F.col(m).isNull(), F.col(f"{m}_lag") * ratio(m)).otherwise(F.col(m))
+        m: F.when(gap & F.col(m).isNull(), F.col(f"{m}_lag") * F.col(f"{m}_ratio")).otherwise(F.col(m))
         for m in spec.measures
     }
     # The variances read the filled values, hence a second step.
