@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gapweave.llm.decontaminate import contaminated
 from gapweave.llm.license_scan import scan_licenses
 from gapweave.llm.line_dedup import drop_boilerplate
+from gapweave.llm.minhash_icws import near_duplicates
 from gapweave.llm.mixing import in_training_order, mix_sources
 from gapweave.llm.preferences import format_preferences, reply_pairs
 from gapweave.llm.quality_rules import kept, ledger
+from gapweave.llm.zstd_quality import fit_quality, held_out, score_quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = in_training_order(mix_sources(table(spark, folder, "documents").select("doc_id", "source", "text")))
     return mixed.select(
@@ -48,6 +55,10 @@ def op5_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     out = format_preferences(reply_pairs(table(spark, folder, "conversations")))
     spans = lambda c: F.array_join(
@@ -61,13 +72,22 @@ def op9_site_lines(spark: SparkSession, folder: str) -> DataFrame:
     return drop_boilerplate(docs, "source").select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op10_zstd_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_string_tiling,
         op2_curriculum_mix,
         op3_license_dice,
         op5_rule_ledger,
+        op7_weighted_minhash,
         op8_preference_pairs,
         op9_site_lines,
+        op10_zstd_quality,
     )
 }
