@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gapweave.storage import materialize
+
 MAX_RATIO, MIN_PAGES = 0.05, 5
 SPACES = " \t\x0b\x0c\r"
 
@@ -58,7 +60,8 @@ def drop_boilerplate(
     pages: DataFrame, host: str = "source", text: str = "text", *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """``pages`` without boilerplate lines, with ``n_lines`` and ``n_dropped``."""
-    found = boilerplate(pages, host, text, max_ratio=max_ratio, min_pages=min_pages)
+    # stored, the short lists are planned by their true size, and a large host's pages can be split
+    found = materialize(boilerplate(pages, host, text, max_ratio=max_ratio, min_pages=min_pages))
     joined = pages.drop("n_lines", "n_dropped").join(found, F.col(host) == F.col("_host"), "left")
     left = F.filter(
         F.split(F.col(text), "\n"),
