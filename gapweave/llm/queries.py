@@ -11,6 +11,7 @@ from gapweave.llm.minhash_icws import near_duplicates
 from gapweave.llm.mixing import in_training_order, mix_sources
 from gapweave.llm.preferences import format_preferences, reply_pairs
 from gapweave.llm.quality_rules import kept, ledger
+from gapweave.llm.suffix_dedup import removed_spans
 from gapweave.llm.zstd_quality import fit_quality, held_out, score_quality
 
 
@@ -40,6 +41,14 @@ def op3_license_dice(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("dice", F.round("dice", 6))
 
 
+def op4_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    found = removed_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op5_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     book = ledger(table(spark, folder, "documents").select("doc_id", "text"))
     return book.select(
@@ -84,6 +93,7 @@ QUERIES = {
         op1_string_tiling,
         op2_curriculum_mix,
         op3_license_dice,
+        op4_suffix_array,
         op5_rule_ledger,
         op7_weighted_minhash,
         op8_preference_pairs,
