@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gapweave.llm.arc_warc import convert_pages
 from gapweave.llm.decontaminate import contaminated
 from gapweave.llm.license_scan import scan_licenses
 from gapweave.llm.line_dedup import drop_boilerplate
@@ -64,6 +65,12 @@ def op5_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return convert_pages(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -95,6 +102,7 @@ QUERIES = {
         op3_license_dice,
         op4_suffix_array,
         op5_rule_ledger,
+        op6_arc_to_warc,
         op7_weighted_minhash,
         op8_preference_pairs,
         op9_site_lines,
