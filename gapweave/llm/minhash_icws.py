@@ -19,9 +19,9 @@ Hashes are 64 bits wide; the words of a document are identified by 128 bits. Ske
 verification see whole texts. Texts are compared in lower case and without punctuation.
 
 Defined results: texts without words, null or empty, are copies of each other; texts under
-five words are equal only to texts of the same words; a null ``doc_id`` takes part as its
-own smallest id would, after all others; repeated rows are copies; an empty table gives an
-empty result.
+five words are equal only to texts of the same words; a row without ``doc_id`` can't be
+named in a class and gets none; repeated rows are copies, and rows of one id are taken for
+one document; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -212,7 +212,8 @@ def _alike(one: str, other: str):
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id)`` per row of ``docs``; ``class_id`` is the smallest id of the class."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
+    nameless = docs.where("doc_id is null").select(*(F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id")))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = idf_of(slot_frequencies(docs))
     sketch = materialize(
         docs.mapInArrow(
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
         if more.isEmpty():
             break
         tried, k = materialize(tried.union(more)), k * 2
-    return known.join(roots, F.col("first") == F.col("id"), "left").select(
-        F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")).alias("doc_id"),
-        F.coalesce("root", "first").alias("class_id"),
+    classes = known.join(roots, F.col("first") == F.col("id"), "left").select(
+        "doc_id", F.coalesce("root", "first").alias("class_id")
     )
+    return classes.unionByName(nameless)
