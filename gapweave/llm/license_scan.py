@@ -11,6 +11,8 @@ Templates are a short constant table in the plan; there is no join and no shuffl
 Defined results: null and empty texts match nothing; a line of one word has no bigrams and
 matches nothing; a line that repeats is reported each time; a line that matches several
 templates gives a row for each. Row ``line`` 0 is the whole text, if it has several lines.
+Columns with the names of results or work columns (``_norm``, ``_u``, ``_body``) are replaced
+or dropped.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def scan_licenses(
             for k, g in grams.items()
         )
     )
-    keep = [c for c in docs.columns if c not in (text, "line", "license", "dice", "n_bigrams")]
+    keep = [c for c in docs.columns if c not in (text, "line", "license", "dice", "n_bigrams", "_norm", "_u", "_body")]
     whole = F.translate("_norm", "\n", " ")
     units = F.concat(
         F.when(F.instr("_norm", "\n") > 0, F.array(F.struct(F.lit(0).alias("line"), whole.alias("body")))).otherwise(

@@ -12,7 +12,8 @@ broadcasts while it is under the session's limit and otherwise joins with skew h
 Defined results: a null text stays null and has no lines; lines without a word are kept
 and not counted; pages of a null host keep all lines; a page whose every line would go
 stays whole (copies of whole pages are near-dedup's business); repeated rows count as
-pages. Columns other than the text are kept; ``n_lines`` and ``n_dropped`` are replaced.
+pages. Columns other than the text are kept; ``n_lines`` and ``n_dropped`` are replaced, and
+columns with this module's work names (``_host``, ``_lines``, ``_rest``) are dropped.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gapweave.storage import materialize
 
 MAX_RATIO, MIN_PAGES = 0.05, 5
+WORK = ("_host", "_lines", "_rest")
 SPACES = " \t\x0b\x0c\r"
 
 
@@ -62,7 +64,7 @@ def drop_boilerplate(
     """``pages`` without boilerplate lines, with ``n_lines`` and ``n_dropped``."""
     # stored, the short lists are planned by their true size, and a large host's pages can be split
     found = materialize(boilerplate(pages, host, text, max_ratio=max_ratio, min_pages=min_pages))
-    joined = pages.drop("n_lines", "n_dropped").join(found, F.col(host) == F.col("_host"), "left")
+    joined = pages.drop("n_lines", "n_dropped", *WORK).join(found, F.col(host) == F.col("_host"), "left")
     left = F.filter(
         F.split(F.col(text), "\n"),
         lambda x: (F.length(_bare(x)) == 0) | ~F.array_contains(F.col("_lines"), _hash(x)),

@@ -139,7 +139,7 @@ def _sketches(idf: np.ndarray):
                 bands = np.empty((len(have), BANDS), np.int64)
                 for b in range(BANDS):
                     bands[:, b] = mix64((sig[:, b * ROWS : (b + 1) * ROWS] * mixer).sum(axis=1, dtype=U) + U(b)).view(np.int64)
-                total = np.bincount(t, weights=weight, minlength=n)
+                total = np.bincount(t, weights=weight, minlength=n).astype(np.float64)
                 count = np.zeros(n + 1, np.int64)
                 count[1:][have] = 1
                 lists = lambda rows, width, kind: pa.ListArray.from_arrays(

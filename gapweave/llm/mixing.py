@@ -14,7 +14,8 @@ with a third of all rows is spread like any other.
 Defined results: a null text has size 0; a null source is a source of its own, the last;
 documents of size 0 and sources without words get ``taken`` 0 and no position; repeated
 rows count each; an empty table gives an empty result. Further columns are kept, except
-those with the names this operator adds, which are replaced.
+those with the names this operator adds, which are replaced, and its work names, which are
+dropped (``WORK``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from gapweave.llm.columns import words_of
 from gapweave.storage import materialize
 
 ADDED = ("size", "source_size", "target", "taken", "copies", "positions")
+WORK = ("_key", "_site", "_bucket", "_sum", "_in", "_start", "_middle", "_whole", "_rank")
 FLAT = ((0.0, 1.0), (1.0, 1.0))
 #: Weight over time of every first, second and third source, each with mean 1.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), FLAT, ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
@@ -53,10 +55,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: float
     """
     all_rows = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = sizes.withColumn("rank", F.row_number().over(all_rows) - 1).withColumn(
-        "weight", F.get(cycle, F.col("rank") % len(weights))
+    ranked = sizes.withColumn("_rank", F.row_number().over(all_rows) - 1).withColumn(
+        "weight", F.get(cycle, F.col("_rank") % len(weights))
     )
-    order = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("rank"))
+    order = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("_rank"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     onwards = order.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy())
@@ -71,7 +73,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: float
     return filled.withColumn("rest", rest).select(
         "source",
         "source_size",
-        "rank",
+        "_rank",
         F.when(F.col("full"), F.col("limit"))
         .otherwise(F.col("rest.left") * F.col("weight") / (F.col("rest.minus") * -1))
         .alias("target"),
@@ -113,7 +115,7 @@ def mix_sources(
     """
     kinds = math.lcm(len(weights), len(curriculum))
     scaled = [weights[i % len(weights)] * area(curriculum[i % len(curriculum)]) for i in range(kinds)]
-    sized = docs.drop(*ADDED).withColumns(
+    sized = docs.drop(*ADDED, *WORK).withColumns(
         {
             "size": word_count(F.col("text")),
             "_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
@@ -126,7 +128,7 @@ def mix_sources(
     same = lambda a, b: F.coalesce(F.concat(F.lit("="), F.col(a)), F.lit("")).alias(b)
     targets = source_targets(
         narrow.groupBy("source").agg(F.sum("size").alias("source_size")), scaled, max_epochs
-    ).select(same("source", "_site"), "source_size", "rank", "target")
+    ).select(same("source", "_site"), "source_size", "_rank", "target")
     sums = narrow.groupBy(same("source", "_site"), bucket.alias("_bucket")).agg(F.sum("size").alias("_sum"))
     up_to = Window.partitionBy("_site").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_site", "_bucket", F.coalesce(F.sum("_sum").over(up_to), F.lit(0)).alias("_start"))
@@ -155,10 +157,8 @@ def mix_sources(
     timed = F.when(F.lit(False), places)
     for k in range(kinds):
         knots = curriculum[k % len(curriculum)]
-        timed = timed.when(F.col("rank") % kinds == k, F.transform(places, _inverter(knots)))
-    return placed.withColumns({"taken": F.col("size") * F.col("copies"), "positions": timed}).drop(
-        "_key", "_site", "_bucket", "_in", "_start", "_middle", "_whole", "rank"
-    )
+        timed = timed.when(F.col("_rank") % kinds == k, F.transform(places, _inverter(knots)))
+    return placed.withColumns({"taken": F.col("size") * F.col("copies"), "positions": timed}).drop(*WORK)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
