@@ -11,6 +11,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -26,14 +27,19 @@ HEADLINE = (
     "linear_fill",
     "ltmean_fill",
     "ar1_filter",
+    "ar1_filter_daily",
     "ar1_grid_fit",
+    "ar1_mle_fit",
     "ar1_predict",
     "ar1_fill",
     "total_index",
     "index_fixed_cv",
     "reconcile_total",
     "method_score",
+    "compare_external",
     "compare_methods",
+    "grid_full_range",
+    "linear_interpolate",
     "ratio_fill_daily",
     "linear_fill_daily",
     "ar1_predict_daily",
@@ -54,6 +60,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gapweave-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -15,6 +15,7 @@ out its own rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gapweave.functions.intervals import ci, lognormal_limits
 from gapweave.functions.scalars import as_col, cv, log_positive, log_sd, log_var
 from gapweave.operators.blocks import BLOCK, join_on_group
-from gapweave.operators.grid import grid_blocks
+from gapweave.operators.grid import COUNT, grid_blocks, single_rows
 from gapweave.spec import PANEL, PanelSpec
 from gapweave.storage import materialize
 
@@ -161,7 +162,8 @@ def _with_params(series: DataFrame, params: Params) -> DataFrame:
     if isinstance(params, DataFrame):
         keys = [c for c in _series_key(series) if c in params.columns]
         spread = [c for c in (*_series_key(series), BLOCK) if c not in keys]
-        series = join_on_group(series, params, keys, spread)
+        whole = F.col("log_pe").isNotNull() & F.col("logit_rho").isNotNull()
+        series = join_on_group(series, params.where(whole), keys, spread, missing="no parameters for")
     else:
         series = series.withColumns({n: F.lit(float(v)) for n, v in zip(("log_pe", "logit_rho"), params)})
     pe, rho, q = _natural(F.col("log_pe"), F.col("logit_rho"))
@@ -397,6 +399,8 @@ def _newton_step(table: DataFrame, group: Sequence[str], h: float) -> DataFrame:
     # Done when neither the point nor, on a ridge towards rho = 1, the objective moves.
     gain = -0.5 * (F.col("gx") * F.col("_dx") + F.col("gy") * F.col("_dy"))
     small = (F.greatest(F.abs("_dx"), F.abs("_dy")) < 1e-5) | (gain < 1e-9 * (1.0 + F.abs("f")))
+    # Every step that is no better damps tenfold, so that a search without hope ends too.
+    small = small | (F.col("damp") > 1e12)
     table = table.withColumns({"_dx": bound(dx), "_dy": bound(dy)})
     return table.withColumns(
         {"try_x": F.col("x") + F.col("_dx"), "try_y": F.col("y") + F.col("_dy"), "done": small}
@@ -404,15 +408,19 @@ def _newton_step(table: DataFrame, group: Sequence[str], h: float) -> DataFrame:
 
 
 def _ml_fit(
-    series: DataFrame, group: Sequence[str], points, rounds: int, spec: PanelSpec, h: float = 1e-3
+    series: DataFrame, group: Sequence[str], points, rounds: int | None, spec: PanelSpec, h: float = 1e-3
 ) -> DataFrame:
     """Newton's method for all groups at once; each round is one pass over the series.
 
     The series of a group are evaluated where they are and only sums per group come
-    together, so a group may be of any size. Groups that are done drop out.
+    together, so a group may be of any size. Groups that are done drop out; it goes on
+    until all are. Each accepted step lowers the objective and each refused one is damped
+    ten times more, so every group ends. Groups without an observation take no part.
     """
     key = _series_key(series)
-    first = _grid_fit(series, group, points, spec)
+    seen = F.size(F.filter("obs", lambda x: x["y"].isNotNull()))
+    known = series.groupBy(*group).agg(F.sum(seen).alias("_seen"))
+    first = _grid_fit(series, group, points, spec).join(known, list(group))
     blank = {n: F.lit(None).cast("double") for n in ("x", "y", "f", "gx", "gy", "hxx", "hxy", "hyy")}
     state = first.select(
         *group,
@@ -420,11 +428,11 @@ def _ml_fit(
         F.lit(1e-3).alias("damp"),
         F.col("log_pe").alias("try_x"),
         F.col("logit_rho").alias("try_y"),
-        F.lit(False).alias("done"),
+        (F.col("_seen") == 0).alias("done"),
     )
     state = materialize(state)
     spread = [c for c in (*key, BLOCK) if c not in group]
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         active = state.where(~F.col("done"))
         cands = _candidates([(F.col("try_x") + i * h, F.col("try_y") + j * h) for i, j in STENCIL])
         points_here = active.select(*group, cands.alias("_cands"))
@@ -435,15 +443,17 @@ def _ml_fit(
         if state.where(~F.col("done")).isEmpty():
             break
     det = F.col("hxx") * F.col("hyy") - F.col("hxy") * F.col("hxy")
-    proper = (det > 0) & (F.col("hxx") > 0)
+    half = (F.col("hxx") - F.col("hyy")) / 2.0
+    least = (F.col("hxx") + F.col("hyy")) / 2.0 - F.sqrt(half * half + F.col("hxy") * F.col("hxy"))
+    # Second differences carry the rounding error of the objective, divided by h squared.
+    proper = least > F.lit(1e-13 / (h * h)) * (1.0 + F.abs("f"))
     cov = {"cov_pe": F.col("hyy"), "cov_rho": F.col("hxx"), "cov_both": -F.col("hxy")}
+    fitted = F.col("done") & F.col("f").isNotNull()
     out = state.select(
         *group,
-        F.col("x").alias("log_pe"),
-        F.col("y").alias("logit_rho"),
-        F.col("f").alias("nll"),
-        *(F.when(proper, v / det).alias(n) for n, v in cov.items()),
-        F.col("done").alias("converged"),
+        *(F.when(fitted, F.col(c)).alias(n) for c, n in (("x", "log_pe"), ("y", "logit_rho"), ("f", "nll"))),
+        *(F.when(fitted & proper, v / det).alias(n) for n, v in cov.items()),
+        fitted.alias("converged"),
     )
     return out.withColumns({"log_pe_se": F.sqrt("cov_pe"), "logit_rho_se": F.sqrt("cov_rho")})
 
@@ -455,14 +465,15 @@ def ar1_fit(
     group: Sequence[str] | None = None,
     method: str = "mle",
     points: Sequence[tuple[float, float]] = GRID,
-    rounds: int = 25,
+    rounds: int | None = None,
 ) -> DataFrame:
     """Parameters per fit group and measure, shared by the series of the group.
 
     ``group`` defaults to the keys. ``method="grid"`` takes the best of ``points``,
     pairs ``(log_pe, logit_rho)``; ``"mle"`` goes on from there to the maximum of the
     likelihood and adds the parameters' covariance (NULL on a flat ridge) and
-    ``converged``.
+    ``converged``. Groups without an observation, and those that a given number of
+    ``rounds`` leaves unfinished, get NULL parameters, which prediction refuses.
     """
     by = [*(spec.keys if group is None else group), MEASURE]
     if method == "grid":
@@ -634,10 +645,9 @@ def fill_ar1(
     pred = pred.select(*spec.cell, *(of(m) for m in spec.measures))
     is_target = F.col(spec.area).isin(*targets)
     columns = [*spec.cell, *spec.values]
-    both = df.where(is_target).select(*columns).unionByName(pred, allowMissingColumns=True)
-    both = both.groupBy(*spec.cell).agg(
-        *(F.max(c).alias(c) for c in (*spec.values, *(f"_{m}" for m in spec.measures)))
-    )
+    own = df.where(is_target).select(*columns).withColumn(COUNT, F.lit(1))
+    both = own.unionByName(pred, allowMissingColumns=True)
+    both = single_rows(both, spec.cell, {c: F.max(c) for c in (*spec.values, *(f"_{m}" for m in spec.measures))})
     filled = both.withColumns({m: F.coalesce(F.col(m), F.col(f"_{m}")) for m in spec.measures})
     out = filled.select(*columns).unionByName(df.where(~is_target).select(*columns))
     if start is not None:

@@ -16,6 +16,7 @@ from gapweave.spec import PanelSpec
 
 BLOCK = "_block"
 SALT = "_salt"
+FOUND = "_found"
 
 
 def blocks_in_order(keys: Sequence[str], backwards: bool = False) -> WindowSpec:
@@ -101,14 +102,23 @@ def next_row(df: DataFrame, keys: Sequence[str], spec: PanelSpec, outputs: dict[
 
 
 def join_on_group(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 8
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread: Sequence[str], missing: str | None = None
 ) -> DataFrame:
-    """Inner join of ``rows`` to a table with one row per ``keys``.
+    """Join ``rows`` to a table with one row per ``keys``.
 
-    A group may own a large part of ``rows``, so each group is spread over ``salts``
-    sub-groups by a hash of the ``spread`` columns. Spark broadcasts ``groups``
-    when its size allows; this is the way beyond that.
+    A group may own a large part of ``rows``, so each group is spread over sub-groups by a
+    hash of the ``spread`` columns, as many as the session has shuffle partitions, which is
+    set by the size of the data. Spark broadcasts ``groups`` when its size allows; this is
+    the way beyond that. Rows without a group are left out, or, given ``missing``, are an
+    error with that message.
     """
+    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = rows.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = groups.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, SALT]).drop(SALT)
+    if missing is None:
+        return left.join(right, [*keys, SALT]).drop(SALT)
+    out = left.join(right.withColumn(FOUND, F.lit(True)), [*keys, SALT], "left")
+    key = keys[0]
+    shown = F.concat(F.lit(f"{missing}: "), F.concat_ws(", ", *(F.col(c).cast("string") for c in keys)))
+    lost = F.raise_error(shown).cast(rows.schema[key].dataType)
+    return out.withColumn(key, F.when(F.col(FOUND), F.col(key)).otherwise(lost)).drop(SALT, FOUND)

@@ -21,6 +21,7 @@ POS = "_pos"
 RUN = "_run"
 OFFSET = "_offset"
 CONTEXT = "_context"
+COUNT = "_count"
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,20 @@ class Context:
     columns: Callable[[Sequence[str]], dict[str, Column]]
 
 
+def single_rows(rows: DataFrame, key: Sequence[str], folds: dict[str, Column]) -> DataFrame:
+    """Fold stacked rows per ``key``; a key with several counted rows is an error.
+
+    ``_count`` is 1 in rows that may occur once per key, else NULL. Folding by the maximum
+    would otherwise mix the values of repeated rows.
+    """
+    out = rows.groupBy(*key).agg(F.sum(COUNT).alias(COUNT), *(v.alias(n) for n, v in folds.items()))
+    last = F.col(key[-1])
+    shown = F.concat_ws(", ", *(F.col(c).cast("string") for c in key if not c.startswith("_")))
+    repeated = F.raise_error(F.concat(F.lit("repeated cell: "), shown)).cast(rows.schema[key[-1]].dataType)
+    checked = F.when(F.col(COUNT) > 1, repeated).otherwise(last).alias(key[-1])
+    return out.select(*(checked if c == key[-1] else c for c in key), *folds)
+
+
 def observed_times(df: DataFrame, spec: PanelSpec, start: int | None = None, *aggs: Column) -> DataFrame:
     """One row per key and observed time, with aggregates over the rows of its areas."""
     if start is not None:
@@ -119,8 +134,8 @@ def grid_blocks(
     into one block, the columns of ``contexts``.
 
     The cells and the data rows are stacked and folded per cell, which equals the
-    left join of the grid to the data (a cell has at most one data row) and needs a
-    single shuffle whose partitioning all later steps reuse.
+    left join of the grid to the data and needs a single shuffle whose partitioning all
+    later steps reuse. A cell with several data rows is an error.
     """
     wanted = F.lit(True) if areas is None else F.col(spec.area).isin(*areas)
     skeleton = df if skeleton is None else skeleton
@@ -146,10 +161,12 @@ def grid_blocks(
         # One row per block takes the context through the shuffle.
         *(F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in bundle),
     )
-    both = cells.unionByName(add_block(rows, spec), allowMissingColumns=True)
+    counted = add_block(rows, spec).withColumn(COUNT, F.lit(1))
+    both = cells.unionByName(counted, allowMissingColumns=True)
     both = both.repartition(*spec.series, BLOCK)
     key = [*spec.series, BLOCK, spec.time]
-    grid = both.groupBy(*key).agg(*(F.max(c).alias(c) for c in both.columns if c not in key))
+    folds = {c: F.max(c) for c in both.columns if c not in (*key, COUNT)}
+    grid = single_rows(both, key, folds)
     if not context:
         return grid
     over = so_far(within_block(spec.series, spec.time))
@@ -192,7 +209,8 @@ def complete_range(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
 def pivot_area(df: DataFrame, value: str, areas: Sequence[str], spec: PanelSpec = PANEL) -> DataFrame:
     """One row per key and time with one column per area, holding ``value``."""
     wide = df.groupBy(*spec.keys, spec.time).pivot(spec.area, list(areas))
-    return wide.agg(F.first(value, ignorenulls=True))
+    one = F.when(F.count(value) > 1, F.raise_error(F.lit("repeated cell in a pivot")).cast(df.schema[value].dataType))
+    return wide.agg(one.otherwise(F.first(value, ignorenulls=True)))
 
 
 def unpivot_area(df: DataFrame, value: str, areas: Sequence[str], spec: PanelSpec = PANEL) -> DataFrame:

@@ -99,7 +99,7 @@ def compare_external(
 
     ``observed`` has ``obs`` per cell, ``external`` the measure and ``method`` per
     cell, ``new`` the measure per cell. ``relabel=(x, a, b)`` names method ``x`` a
-    and all others b. Observations without an external result stay, as in a left
+    and all others b, whose scores are averaged together. Observations without an external result stay, as in a left
     join. Gives the mean percent difference per key, area and method.
     """
     name = measure or spec.measures[0]
@@ -108,14 +108,15 @@ def compare_external(
         other = other.where(~F.col("method").isin(*exclude))
     obs = observed.select(*spec.cell, "obs")
     joined = obs.join(other, spec.cell, "left")
+    # The next observation is looked up per method as it was named, before labels fold.
+    # A time that no method covers is a group of its own, whose label is NULL.
+    joined = joined.withColumn("_of", F.coalesce(F.concat(F.lit("="), "method"), F.lit("")))
     if relabel is not None:
         which, a, b = relabel
         # A missing method stays missing.
         method = F.when(F.col("method") == which, a).when(F.col("method").isNotNull(), b)
         joined = joined.withColumn("method", method)
     mine = obs.join(new.select(*spec.cell, F.col(name).alias("estimate")), spec.cell, "left")
-    both = joined.unionByName(mine.withColumn("method", F.lit(label)))
-    # A time that no method covers is a group of its own, whose label is NULL.
-    both = both.withColumn("_label", F.coalesce("method", F.lit("")))
-    rows = step_ahead(both, spec, {"pdiff": ("estimate", "obs")}, [*spec.series, "_label"])
+    both = joined.unionByName(mine.withColumns({"method": F.lit(label), "_of": F.lit("+")}))
+    rows = step_ahead(both, spec, {"pdiff": ("estimate", "obs")}, [*spec.series, "_of"])
     return rows.groupBy(*spec.series, "method").agg(F.avg("pdiff").alias("mean_pdiff"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -16,10 +17,11 @@ from gapweave.operators.ar1 import (
     obs_pred_table,
     observation_limits,
 )
-from gapweave.operators.grid import complete_grid, complete_range, pivot_area
+from gapweave.operators.grid import complete_grid, complete_range, pivot_area, unpivot_area
 from gapweave.operators.index import reconcile, total_index
 from gapweave.operators.interpolate import interpolate
 from gapweave.operators.linear import cv_table, fill_linear
+from gapweave.operators.project import drop_like, select_like
 from gapweave.operators.ratio import assign_mean_cv_variance, fill_ratio, lag_first_default
 from gapweave.operators.share import fill_ltmean, longterm_shares
 from gapweave.operators.stack import compare_external, score_methods, stack_methods
@@ -37,14 +39,14 @@ from gapweave.sources.order_panels import (
     supplier_panel,
     supplier_total,
 )
-from gapweave.spec import PanelSpec
-from gapweave.storage import materialize
+from gapweave.sources.panel_io import read_panel_csv, write_panel_csv
+from gapweave.spec import PanelSpec, Schedule
+from gapweave.storage import materialize, work_folder
 
 METHODS = ("total_ratio", "neighbour_ratio", "linear", "ar1")
 # State parameters (log_pe, logit_rho) per run of the fixed-parameter queries.
 FIXED = (1.0, 3.0)
 FIXED_DAILY = (0.5, 2.0)
-SMALL_GRID = tuple((a, b) for a in (-1.0, 0.0, 1.0, 2.0) for b in (0.0, 1.0, 3.0, 5.0))
 
 # Decimals kept in results: enough to tell values apart, few enough to be the same
 # in any engine. Values are thousands at most, variances millions.
@@ -107,6 +109,33 @@ def q_extract_total(spark, folder):
     return _rounded(extract_total(total.toDF(*(c.upper() for c in total.columns)), start=START))
 
 
+def q_select_like(spark, folder):
+    p = supplier_panel(spark, folder)
+    return _rounded(select_like(p, "RPN", keep=["species", "year", "strata"]))
+
+
+def q_drop_like(spark, folder):
+    return _rounded(drop_like(supplier_panel(spark, folder), "_VAR", "rpw"))
+
+
+def q_csv_round_trip(spark, folder):
+    """The panel through two CSV data sets whose columns differ in order."""
+    p = materialize(supplier_panel(spark, folder))
+    base = f"{work_folder(spark).rstrip('/')}/gapweave/{uuid.uuid4().hex}"
+    target = F.col("strata").isin(*TARGETS)
+    write_panel_csv(p.where(target), f"{base}/a")
+    write_panel_csv(p.where(~target).select(*reversed(p.columns)), f"{base}/b")
+    return _rounded(read_panel_csv(spark, [f"{base}/a", f"{base}/b"]))
+
+
+def q_schedule_by_pattern(spark, folder):
+    """Survey values where the areas surveyed always are named by a pattern."""
+    schedule = Schedule(SCHEDULE.periodic, always_like="^(ASIA|EUR)")
+    p = supplier_panel(spark, folder).withColumn("method", F.lit("survey"))
+    out = stack_methods([p], schedule=schedule)
+    return _rounded(out.select("species", "year", "strata", "obs_rpn", "obs_rpw"))
+
+
 def q_cv_table(spark, folder):
     return _rounded(cv_table(supplier_panel(spark, folder)))
 
@@ -161,6 +190,11 @@ def q_pivot_area(spark, folder):
     return _rounded(pivot_area(supplier_panel(spark, folder), "rpn", AREAS))
 
 
+def q_unpivot_area(spark, folder):
+    wide = materialize(pivot_area(supplier_panel(spark, folder), "rpn", AREAS))
+    return _rounded(unpivot_area(wide, "rpn", AREAS))
+
+
 def q_lag_first_default(spark, folder):
     return _rounded(lag_first_default(*_suppliers(spark, folder)))
 
@@ -261,17 +295,17 @@ def q_method_score(spark, folder):
 def q_compare_external(spark, folder):
     p, spec = _suppliers(spark, folder)
     grid = complete_grid(p.where(F.col("strata").isin(*TARGETS)), spec)
-    external = _total_ratio(p, spec).unionByName(_neighbour_ratio(p, spec)).unionByName(
-        _linear(p, spec)
-    )
+    linear = materialize(_linear(p, spec))
+    external = _total_ratio(p, spec).unionByName(_neighbour_ratio(p, spec)).unionByName(linear)
+    external = external.unionByName(linear.withColumn("method", F.lit("withdrawn")))
     return _rounded(
         compare_external(
             grid.select("species", "year", "strata", F.col("rpn").alias("obs")),
             external,
             _ar1(p, spec),
             spec,
-            exclude=["neighbour_ratio"],
-            relabel=("total_ratio", "ratio", "linear_approx"),
+            exclude=["withdrawn"],
+            relabel=("total_ratio", "ratio", "others"),
             label="ar1",
         )
     )
@@ -313,7 +347,7 @@ def q_ar1_filter_daily(spark, folder):
 
 def q_ar1_grid_fit(spark, folder):
     series, spec = _series(spark, folder)
-    return _rounded(ar1_fit(series, spec, method="grid", points=SMALL_GRID))
+    return _rounded(ar1_fit(series, spec, method="grid"))
 
 
 def q_ar1_predict(spark, folder):

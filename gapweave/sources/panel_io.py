@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gapweave.spec import PANEL, PanelSpec
 
@@ -55,21 +57,39 @@ def read_panel_csv(
     schema: T.StructType | None = None,
     spec: PanelSpec = PANEL,
 ) -> DataFrame:
-    """Panel from CSV with a header; columns are found by name, in any order.
+    """Panel from CSV with headers; columns are found by name, in each file's own order.
 
     Values spelled ``NA`` and empty ones are missing.
     """
     schema = spec.schema() if schema is None else schema
     paths = [path] if isinstance(path, str) else list(path)
-    # The header line alone gives the order of the columns in the file.
-    names = spark.read.csv(paths, header=True, inferSchema=False).columns
     types = {f.name: f.dataType for f in schema.fields}
-    unknown = sorted(set(types) - set(names))
-    if unknown:
-        raise ValueError(f"columns missing from {paths}: {unknown}")
-    stored = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-    df = spark.read.csv(paths, header=True, schema=stored, nullValue=MISSING, mode="FAILFAST")
-    return df.select(*schema.fieldNames())
+    parts = []
+    for names, files in headers(spark, paths).items():
+        unknown = sorted(set(types) - set(names))
+        if unknown:
+            raise ValueError(f"columns missing from {files[:3]}: {unknown}")
+        stored = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        df = spark.read.csv(files, header=True, schema=stored, nullValue=MISSING, mode="FAILFAST")
+        parts.append(df.select(*schema.fieldNames()))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the columns of their header lines.
+
+    A header is the first line of the part of a file that begins at byte 0; one line per
+    file comes to the driver, beside the file list that Spark holds there anyway.
+    """
+    lines = spark.read.text(list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in first.orderBy("file_path").collect():
+        names = tuple(next(csv.reader([r.line.removeprefix("\ufeff")])))
+        found.setdefault(names, []).append(r.file_path)
+    return found
 
 
 def write_panel_csv(df: DataFrame, path: str) -> None:

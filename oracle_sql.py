@@ -505,11 +505,30 @@ ORACLE: dict[str, str] = {
               as score_rank from scores)""",
         ),
     ),
+    "select_like": chain(PANEL, final=keep("species year strata", "rpn rpn_var", "panel")),
+    "drop_like": chain(PANEL, final=keep("species year strata", "rpn", "panel")),
+    "csv_round_trip": chain(PANEL, final=keep("species year strata", "rpn rpn_var rpw rpw_var", "panel")),
+    "schedule_by_pattern": chain(
+        PANEL,
+        """marked as (
+          select species, year, strata, case when seen then rpn end as obs_rpn, case when seen then rpw end as obs_rpw
+          from (select *, strata in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') as seen from panel))""",
+        final=keep("species year strata", "obs_rpn obs_rpw", "marked"),
+    ),
+    "unpivot_area": chain(
+        PANEL,
+        f"""wide as (
+          select d.species, d.year, a.strata, p.rpn
+          from (select distinct species, year from panel) d cross join (select unnest({ORDERED_AREAS}) as strata) a
+          left join panel p on p.species = d.species and p.year = d.year and p.strata = a.strata)""",
+        final=keep("species year strata", "rpn", "wide"),
+    ),
     "compare_external": chain(
         PANEL,
         GRID,
         LAGS,
         TOTAL_RATIO,
+        NEIGHBOUR_RATIO,
         LINEAR,
         *FIXED,
         AR1,
@@ -519,13 +538,15 @@ ORACLE: dict[str, str] = {
           join (select distinct species, year from panel where strata in {TARGETS}) y on s.species = y.species
           left join panel p on p.species = s.species and p.strata = s.strata and p.year = y.year),
         compared as (
-          select species, year, strata, obs, e.rpn as estimate,
-            case when e.method = 'total_ratio' then 'ratio' when e.method is not null then 'linear_approx' end as method
-          from observed left join (select * from total_ratio union all by name select * from linear) e
+          select species, year, strata, obs, e.rpn as estimate, e.method as own,
+            case when e.method = 'total_ratio' then 'ratio' when e.method is not null then 'others' end as method
+          from observed left join (select * from total_ratio union all by name select * from neighbour_ratio
+                                   union all by name select * from linear) e
             using (species, year, strata)
           union all
-          select species, year, strata, obs, a.rpn, 'ar1' from observed left join ar1 a using (species, year, strata)),
-        ahead as (select *, lead(obs) over (partition by species, method, strata order by year) as next_obs from compared)""",
+          select species, year, strata, obs, a.rpn, 'ar1', 'ar1'
+          from observed left join ar1 a using (species, year, strata)),
+        ahead as (select *, lead(obs) over (partition by species, own, strata order by year) as next_obs from compared)""",
         final=keep(
             "species strata method",
             "mean_pdiff",
@@ -565,7 +586,7 @@ ORACLE: dict[str, str] = {
         observations(),
         filtered(
             f"""select (row_number() over (order by a, b)) - 1 as k, a as log_pe, b as logit_rho, {natural('a', 'b')}
-            from (select unnest([-1.0, 0.0, 1.0, 2.0]::double[]) as a) x, (select unnest([0.0, 1.0, 3.0, 5.0]::double[]) as b) y"""
+            from (select unnest([-3, -2, -1, 0, 1, 2, 3, 4]::double[]) as a) x, (select unnest([0, 1, 2, 4, 6, 8]::double[]) as b) y"""
         ),
         """objective as (select species, measure, k, sum(nll) as nll from f group by all),
         best as (select *, row_number() over (partition by species, measure order by nll, k) as rank from objective)""",

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_oracle import TABLES, rows_of, same
+from gapweave.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -21,7 +22,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, db, name):
     df = entry_points.queries()[name](spark, FOLDER)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
