@@ -8,11 +8,12 @@
    equal to their weighted Jaccard similarity. ``ROWS`` samples make one band key.
 3. Documents with the same words are one, the smallest id; only those go on.
 4. Candidates share a band key. First each document of a bucket is verified against the
-   bucket's smallest id. Afterwards documents of one bucket that are still in different
-   classes are compared by their sketches; of those that look alike the best ``k`` per
-   document and class are verified, with ``k`` doubling until no untried pair is left. So
-   a class of thousands costs about a comparison per member, and no link is given up for
-   the size of a bucket.
+   bucket's smallest id, which settles most of a large group with a comparison per member.
+   Then every bucket that still holds several classes is compared in blocks of ``BLOCK``
+   against ``BLOCK`` documents: sketches pick the documents that look like one of another
+   class, and the exact similarities of those are computed in their task, which hands on a
+   spanning forest of the links instead of all pairs. A bucket of any size is spread over
+   its pairs of blocks, and none of its links is given up.
 5. Verified pairs, by exact weighted Jaccard similarity, are joined to classes.
 
 Hashes are 64 bits wide; the words of a document are identified by 128 bits. Sketch and
@@ -41,6 +42,7 @@ BANDS, ROWS = 10, 3
 SLOT_BITS = 18
 THRESHOLD = 0.8
 ALIKE = 0.55
+BLOCK = 256
 _TABLE = 1 << 12
 
 
@@ -210,6 +212,102 @@ def _alike(one: str, other: str):
     return F.aggregate(equal, F.lit(0), lambda s, x: s + x) / float(BANDS * ROWS)
 
 
+PLACE = ("band", "lo", "hi")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of one pair of blocks after the other; they arrive sorted by ``PLACE``."""
+    now, parts = None, []
+    for batch in batches:
+        keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+        cut = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
+        for a, b in zip(cut, [*cut[1:], len(keys)]):
+            key = tuple(keys[a].tolist())
+            if key != now and parts:
+                yield now, pa.Table.from_batches(parts)
+                parts = []
+            now = key
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield now, pa.Table.from_batches(parts)
+
+
+def _lookalikes(threshold: float):
+    """Documents of a pair of blocks whose sketch is like that of one of another class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, table in _groups(batches):
+            root, weight = table.column("root").to_numpy(), table.column("weight").to_numpy()
+            sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(len(root), -1)
+            equal = np.zeros((len(root), len(root)), np.int16)
+            for k in range(sig.shape[1]):
+                equal += sig[:, k, None] == sig[None, :, k]
+            # the common weight is the lesser of two at most, so a link needs weights in the threshold's ratio
+            fits = np.minimum.outer(weight, weight) >= np.maximum.outer(weight, weight) * (threshold * 0.999999)
+            hit = (fits & (equal >= ALIKE * sig.shape[1]) & (root[:, None] != root[None, :])).any(axis=1)
+            if hit.any():
+                yield from table.filter(pa.array(hit)).select([*PLACE, "doc_id", "root"]).to_batches()
+
+    return run
+
+
+def _links(idf: np.ndarray, threshold: float):
+    """Links between documents of different classes in a pair of blocks, as a forest."""
+
+    def adjacency(vectors) -> np.ndarray:
+        n = len(vectors)
+        if n <= 4:
+            near = np.zeros((n, n), bool)
+            for i in range(n):
+                for j in range(i):
+                    near[i, j] = near[j, i] = weighted_jaccard(vectors[i], vectors[j], idf) >= threshold
+            return near
+        # a shingle that occurs c times is c features, so that common counts add up
+        times = np.concatenate([c for _, c in vectors]).astype(np.int64)
+        shingle = np.repeat(np.concatenate([s for s, _ in vectors]), times)
+        nth = np.arange(len(shingle)) - np.repeat(np.cumsum(times) - times, times)
+        owner = np.repeat(np.arange(n), [int(c.sum()) for _, c in vectors])
+        weight = idf[_slot(shingle)]
+        total = np.bincount(owner, weights=weight, minlength=n)
+        feature = np.where(nth > 0, mix64(shingle ^ mix64(nth.astype(U))), shingle)
+        _, column, count = np.unique(feature, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        owner, column, weight = owner[shared], column[shared], np.sqrt(weight[shared])
+        order = np.argsort(column, kind="stable")
+        owner, column, weight = owner[order], column[order], weight[order]
+        column = np.cumsum(np.diff(column, prepend=column[:1]) != 0) if len(column) else column
+        common, wide = np.zeros((n, n)), 2048
+        cut = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + wide, wide))
+        for k, (a, b) in enumerate(zip(cut, cut[1:])):
+            slab = np.zeros((n, wide))
+            slab[owner[a:b], column[a:b] - k * wide] = weight[a:b]
+            common += slab @ slab.T
+        return common >= threshold * (total[:, None] + total[None, :] - common) - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _groups(batches):
+            ids, root = table.column("doc_id").to_numpy(), table.column("root").to_numpy()
+            raw = zip(table.column("shingles").to_pylist(), table.column("counts").to_pylist())
+            near = adjacency([(np.frombuffer(s, U), np.frombuffer(c, np.uint32)) for s, c in raw])
+            near |= root[:, None] == root[None, :]  # known already; their links are not sent again
+            todo, a, b = np.ones(len(ids), bool), [], []
+            for start in range(len(ids)):
+                if not todo[start]:
+                    continue
+                todo[start], queue = False, [start]
+                while queue:
+                    i = queue.pop()
+                    new = np.flatnonzero(near[i] & todo)
+                    todo[new] = False
+                    queue += new.tolist()
+                    for j in new[root[new] != root[i]]:
+                        a.append(min(ids[i], ids[j])), b.append(max(ids[i], ids[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id)`` per row of ``docs``; ``class_id`` is the smallest id of the class."""
     nameless = docs.where("doc_id is null").select(*(F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id")))
@@ -255,36 +353,32 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     plausible = (F.least("wa", "wb") >= F.greatest("wa", "wb") * threshold * 0.999999) & (_alike("ga", "gb") >= ALIKE)
     pairs = spots.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried = verified(pairs.join(looks("b"), "b").join(looks("a"), "a").where(plausible).select("a", "b"))
-    roots, k = None, 1
-    while True:
-        links = tried.where("same").select("a", "b")
-        roots = components(links)
-        label = members.join(roots, F.col("doc_id") == F.col("id"), "left").select(
-            "doc_id", F.coalesce("root", "doc_id").alias("root")
-        )
-        here = materialize(spots.join(label, "doc_id"))
-        top = here.where("doc_id = lead").select("band", F.col("root").alias("lead_root"))
-        apart = here.join(top, "band").where("root != lead_root").select(
-            "band", F.col("doc_id").alias("x"), F.col("root").alias("rx")
-        )
-        other = here.select("band", F.col("doc_id").alias("y"), F.col("root").alias("ry"))
-        open_pairs = (
-            materialize(
-                apart.join(other, "band").where("rx != ry")
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "ry").distinct()
-            )
-            .join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            .join(looks("b"), "b").join(looks("a"), "a")
-            .where(plausible)
-            .select("a", "b", "x", "ry", _alike("ga", "gb").alias("like"))
-        )
-        best = open_pairs.groupBy("x", "ry").agg(
-            F.slice(F.sort_array(F.collect_list(F.struct("like", "a", "b")), False), 1, k).alias("p")
+    links = tried.where("same").select("a", "b")
+    roots = components(links)
+    label = members.join(roots, F.col("doc_id") == F.col("id"), "left").select(
+        "doc_id", F.coalesce("root", "doc_id").alias("root")
+    )
+    here = materialize(spots.select("band", "doc_id").join(label, "doc_id"))
+    several = materialize(
+        here.groupBy("band")
+        .agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        .where("x != y")
+        .select("band", "parts")
+    )
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    beside = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("beside")
+    spread = here.join(several, "band").select("band", "doc_id", "root", own.alias("own"), beside)
+    spread = spread.select("band", F.least("own", "beside").alias("lo"), F.greatest("own", "beside").alias("hi"), "doc_id", "root")
+    dealt = lambda df: df.repartition(*PLACE).sortWithinPartitions(*PLACE)
+    alike = materialize(
+        dealt(spread.join(seen, "doc_id").select(*PLACE, "doc_id", "root", "weight", "sig")).mapInArrow(
+            _lookalikes(threshold), "band long, lo int, hi int, doc_id long, root long"
         )
-        more = verified(best.select(F.inline("p")).select("a", "b").distinct())
-        if more.isEmpty():
-            break
-        tried, k = materialize(tried.union(more)), k * 2
+    )
+    more = dealt(alike.join(vectors, "doc_id").select(*PLACE, "doc_id", "root", "shingles", "counts")).mapInArrow(
+        _links(idf, threshold), "a long, b long"
+    )
+    roots = components(links.union(more))
     classes = known.join(roots, F.col("first") == F.col("id"), "left").select(
         "doc_id", F.coalesce("root", "first").alias("class_id")
     )
