@@ -39,10 +39,11 @@ from gapweave.storage import materialize
 
 MATCH, TOKEN = 50, 16
 REACH = MATCH - TOKEN + 1
-BUCKET = 8 << 20  # bytes of text whose suffixes make a bucket
+BUCKET = 4 << 20  # bytes of text whose suffixes make a bucket
 SAMPLE = 200_000  # runs in the sample, about
 CHUNK = 2 << 20
 LAST = (1 << 63) - 1
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORDS = (0, 42, 8, 32, 16, 24, 40)  # where the keys of a prefix begin: its ends first, as they differ soonest
 
 
@@ -166,7 +167,7 @@ def _pack(ids, marks, doc, start, size, place, body) -> bytes:
     docs, local = np.unique(doc, return_inverse=True)
     head = np.array([len(docs), len(doc)], np.int64)
     parts = (head, ids[docs], marks[docs], local.astype(np.int32), start.astype(np.int32), size.astype(np.int32), place.astype(np.int32), body)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(x.tobytes() for x in parts))
 
 
 def _unpack(blob: bytes):
@@ -268,7 +269,9 @@ def smallest_documents(data: np.ndarray, begin: np.ndarray, doc: np.ndarray) ->
 
 def _bucket(blobs: list[bytes]):
     """Spans of a bucket's documents that smaller documents cover."""
-    parts = [_unpack(b) for b in blobs]
+    parts = []
+    while blobs:
+        parts.append(_unpack(blobs.pop()))
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
     ids, marks = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     doc = np.concatenate([p[2].astype(np.int64) + base[i] for i, p in enumerate(parts)])
@@ -316,27 +319,20 @@ def _bucket(blobs: list[bytes]):
 
 
 def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets come one after the other, their rows together."""
-    now, blobs = None, []
-
-    def out():
-        return _record([(now, None, i, m, s) for i, m, s in _bucket(blobs)])
-
+    """A partition is a bucket: runs to sort, and spans that are settled already."""
+    blobs: dict[int, list[bytes]] = {}
     for batch in batches:
         kept = []
         for b, r, i, m, s in zip(*(c.to_pylist() for c in batch.columns)):
             if r is None:
                 kept.append((b, None, i, m, s))
-                continue
-            if b != now and blobs:
-                yield out()
-                blobs = []
-            now = b
-            blobs.append(r)
+            else:
+                blobs.setdefault(b, []).append(r)
         if kept:
             yield _record(kept)
-    if blobs:
-        yield out()
+    while blobs:
+        b, runs_of = blobs.popitem()
+        yield _record([(b, None, i, m, s) for i, m, s in _bucket(runs_of)])
 
 
 def _merged(parts) -> np.ndarray:
@@ -391,10 +387,17 @@ def removed_spans(docs: DataFrame, *, bucket_bytes: int = BUCKET, sample: int =
     one, two = (seen.column(c).to_numpy().astype(np.int64).view(U) for c in ("one", "two"))
     split = Splitters(one, two, buckets)
     sent = keyed.mapInArrow(_sender(split), "bucket int, runs binary, doc_id long, mark int, spans binary")
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartitionById(buckets, F.col("bucket"))
     spans = dealt.mapInArrow(_receive, "bucket int, runs binary, doc_id long, mark int, spans binary")
     found = spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans"))
-    found = materialize(found)
+    # the runs are several times the text: their shuffle files go as soon as the spans are written
+    conf = docs.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        found = materialize(found)
+    finally:
+        conf.set(CLEANUP, before)
     return (
         keyed.join(found, ["doc_id", "mark"], "left")
         .select("doc_id", "text", "spans")
