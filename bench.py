@@ -31,7 +31,9 @@ HEADLINE = (
     "ar1_grid_fit",
     "ar1_mle_fit",
     "ar1_predict",
+    "ar1_predict_total_se",
     "ar1_fill",
+    "ar1_fill_estimated",
     "total_index",
     "index_fixed_cv",
     "reconcile_total",
@@ -42,6 +44,7 @@ HEADLINE = (
     "linear_interpolate",
     "ratio_fill_daily",
     "linear_fill_daily",
+    "linear_fill_supplier_days",
     "ar1_predict_daily",
     "segment_index",
 )

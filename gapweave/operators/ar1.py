@@ -196,7 +196,7 @@ def _scan(parts: Column, m: Column, p: Column, eta: Column, j: Column) -> tuple[
     return ahead, F.reverse(behind)
 
 
-def _in_chunks(work, edges: Sequence[Column]) -> Column:
+def _in_chunks(work, edges: Sequence[Column], rho: Column, q: Column) -> Column:
     """Apply ``work(obs, m, p, eta, j)`` to the rows of a block, chunk by chunk.
 
     A long block is treated like a series of short blocks: fold each chunk, scan the
@@ -218,7 +218,7 @@ def _in_chunks(work, edges: Sequence[Column]) -> Column:
         return F.flatten(whole)
 
     folded = F.transform(
-        chunks, lambda c: _struct(rows=c["rows"], e=_fold_rows(c["rows"], F.col("_rho"), F.col("_q")))
+        chunks, lambda c: _struct(rows=c["rows"], e=_fold_rows(c["rows"], rho, q))
     )
     return F.when(F.size(obs) <= CHUNK, work(obs, *edges)).otherwise(_let(folded, inside))
 
@@ -253,12 +253,10 @@ def _edges(series: DataFrame, key: Sequence[str]) -> DataFrame:
     return unzip(groups.join(top, [*key, GROUP]), [F.col(c) for c in EDGES], BLOCK, key)
 
 
-def _with_edges(series: DataFrame, spec: PanelSpec) -> DataFrame:
+def _with_edges(series: DataFrame, key: Sequence[str], spec: PanelSpec) -> DataFrame:
     if spec.one_block:
         zero = F.lit(0.0)
         return series.withColumns(dict(zip(EDGES, (zero, F.col("_p0"), zero, zero))))
-    key = [c for c in series.columns if c not in (BLOCK, "obs", "log_pe", "logit_rho", "_p0", "_rho", "_q")]
-    key = [c for c in key if not c.startswith("cov_")]
     return series.join(_edges(series, key), [*key, BLOCK])
 
 
@@ -272,7 +270,7 @@ def ar1_filter(series: DataFrame, params: Params, spec: PanelSpec = PANEL) -> Da
     group. Gives ``m_pred, p_pred, m, p, nll``; the sum of ``nll`` is the objective.
     """
     key = _series_key(series)
-    rows = _with_edges(_with_params(series, params), spec)
+    rows = _with_edges(_with_params(series, params), key, spec)
     rho, q = F.col("_rho"), F.col("_q")
 
     def step(acc, x):
@@ -294,7 +292,7 @@ def ar1_filter(series: DataFrame, params: Params, spec: PanelSpec = PANEL) -> Da
     def work(obs, m, p, eta, j):
         return F.aggregate(obs, _struct(m=m, p=p, out=_empty(fields)), step, lambda acc: acc["out"])
 
-    out = rows.select(*key, F.inline(_in_chunks(work, [F.col(c) for c in EDGES])))
+    out = rows.select(*key, F.inline(_in_chunks(work, [F.col(c) for c in EDGES], rho, q)))
     return out.withColumnRenamed("t", spec.time)
 
 
@@ -486,8 +484,8 @@ def ar1_fit(
 # --- smoother -------------------------------------------------------------------------
 
 
-def _smooth(rows: DataFrame, keep: Sequence[str], time_type: str) -> DataFrame:
-    rho, q = F.col("_rho"), F.col("_q")
+def _smoothed(edges: Sequence[Column], rho: Column, q: Column, time_type: str) -> Column:
+    """Smoothed states of the rows of a block, an array of ``struct<t, mean, var>``, last row first per chunk."""
     kept = f"t:{time_type},y:double,r:double,m:double,p:double"
 
     def forward(acc, x):
@@ -518,7 +516,7 @@ def _smooth(rows: DataFrame, keep: Sequence[str], time_type: str) -> DataFrame:
         )
         return smoothed
 
-    return rows.select(*keep, F.inline(_in_chunks(work, [F.col(c) for c in EDGES])))
+    return _in_chunks(work, edges, rho, q)
 
 
 def ar1_predict(
@@ -534,7 +532,9 @@ def ar1_predict(
     if total_se:
         out = _smooth_with_slopes(series, params, key, time_type, spec)
     else:
-        out = _smooth(_with_edges(_with_params(series, params), spec), key, time_type)
+        rows = _with_edges(_with_params(series, params), key, spec)
+        states = _smoothed([F.col(c) for c in EDGES], F.col("_rho"), F.col("_q"), time_type)
+        out = rows.select(*key, F.inline(states))
     out = out.withColumn("log_se", F.sqrt("var"))
     return out.select(
         *key,
@@ -553,34 +553,38 @@ def ar1_predict(
 
 
 def _smooth_with_slopes(series, params: DataFrame, key, time_type: str, spec, h: float = 1e-3) -> DataFrame:
-    """Smooth at the parameters and on both sides of each, and propagate the covariance."""
-    keys = [c for c in key if c in params.columns]
-    shifts = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
-    points = F.array(
-        *(
-            _struct(
-                _at=k,
-                log_pe=F.col("log_pe") + i * h,
-                logit_rho=F.col("logit_rho") + j * h,
-                cov_pe=F.col("cov_pe"),
-                cov_rho=F.col("cov_rho"),
-                cov_both=F.col("cov_both"),
-            )
-            for k, (i, j) in enumerate(shifts)
-        )
-    )
-    wide = params.select(*keys, F.inline(points))
-    rows = _with_edges(_with_params(series, wide), spec)
-    covs = ["cov_pe", "cov_rho", "cov_both"]
-    out = _smooth(rows, [*key, "_at", *covs], time_type)
-    at = lambda k, c: F.max(F.when(F.col("_at") == k, F.col(c)))
-    out = out.groupBy(*key, "t").agg(
-        at(0, "mean").alias("mean"),
-        at(0, "var").alias("_var"),
-        ((at(1, "mean") - at(2, "mean")) / (2 * h)).alias("_sx"),
-        ((at(3, "mean") - at(4, "mean")) / (2 * h)).alias("_sy"),
-        *(F.max(c).alias(c) for c in covs),
+    """Smooth at the parameters and on both sides of each, and propagate the covariance.
+
+    The five points lie in one row beside the series, which is joined to its parameters once.
+    """
+    rows = _with_params(series, params)
+    points = []
+    for at, (i, j) in enumerate([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]):
+        pe, rho, q = _natural(F.col("log_pe") + i * h, F.col("logit_rho") + j * h)
+        points.append(_struct(_at=at, _p0=pe * pe, _rho=rho, _q=q))
+    rows = rows.withColumn("_points", F.array(*points))
+    if spec.one_block:
+        zero = F.lit(0.0)
+        edge = lambda x: _struct(_at=x["_at"], _m=zero, _p=x["_p0"], _eta=zero, _j=zero)
+        rows = rows.withColumn("_states", F.transform("_points", edge))
+    else:
+        # Only folds, no rows of the series, are told apart by point and shuffled.
+        each = rows.select(*key, BLOCK, "obs", F.inline("_points"))
+        states = _edges(each, [*key, "_at"]).groupBy(*key, BLOCK)
+        states = states.agg(F.sort_array(F.collect_list(F.struct("_at", *EDGES))).alias("_states"))
+        rows = rows.join(states, [*key, BLOCK])
+
+    def sides(a, k):
+        return lambda i: (a[k][i]["mean"] - a[k + 1][i]["mean"]) / (2 * h)
+
+    def slopes(a):
+        pe, rho = sides(a, 1), sides(a, 3)
+        return F.transform(a[0], lambda x, i: _struct(t=x["t"], mean=x["mean"], _var=x["var"], _sx=pe(i), _sy=rho(i)))
+
+    smooth = F.zip_with(
+        "_points", "_states", lambda c, s: _smoothed([s[n] for n in EDGES], c["_rho"], c["_q"], time_type)
     )
+    out = rows.select(*key, "cov_pe", "cov_rho", "cov_both", F.inline(_let(smooth, slopes)))
     sx, sy = F.col("_sx"), F.col("_sy")
     more = sx * sx * F.col("cov_pe") + 2.0 * sx * sy * F.col("cov_both") + sy * sy * F.col("cov_rho")
     return out.withColumn("var", F.col("_var") + F.coalesce(more, F.lit(0.0)))

@@ -84,6 +84,20 @@ def score_methods(
     return out
 
 
+def score_predictions(
+    table: DataFrame, spec: PanelSpec = PANEL, *, measure: str | None = None
+) -> DataFrame:
+    """Mean percent difference of each *prediction*, not the filled value, to the next observation.
+
+    ``table`` has the measure and ``<measure>_pred`` per cell, as from ``obs_pred_table``. A
+    row whose next cell is missing does not count. Gives ``pred_stat`` per series.
+    """
+    m = measure or spec.measures[0]
+    rows = table.select(*spec.cell, m, f"{m}_pred")
+    rows = step_ahead(rows, spec, {"pdiff": (f"{m}_pred", m)}, spec.series)
+    return rows.groupBy(*spec.series).agg(F.avg("pdiff").alias("pred_stat"))
+
+
 def compare_external(
     observed: DataFrame,
     external: DataFrame,

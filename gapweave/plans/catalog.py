@@ -24,7 +24,7 @@ from gapweave.operators.linear import cv_table, fill_linear
 from gapweave.operators.project import drop_like, select_like
 from gapweave.operators.ratio import assign_mean_cv_variance, fill_ratio, lag_first_default
 from gapweave.operators.share import fill_ltmean, longterm_shares
-from gapweave.operators.stack import compare_external, score_methods, stack_methods
+from gapweave.operators.stack import compare_external, score_methods, score_predictions, stack_methods
 from gapweave.plans.survey_index import compare_methods, share_and_linear_index
 from gapweave.sources.extract import extract_alternating, extract_total
 from gapweave.sources.order_panels import (
@@ -36,6 +36,7 @@ from gapweave.sources.order_panels import (
     daily_panel,
     raw_survey,
     segment_panel,
+    supplier_day_panel,
     supplier_panel,
     supplier_total,
 )
@@ -237,6 +238,12 @@ def q_linear_fill_daily(spark, folder):
     return _rounded(fill_linear(p, spec, maxgap=6, label="linear"))
 
 
+def q_linear_fill_supplier_days(spark, folder):
+    """Many keys, each of several blocks."""
+    p, spec = _stored(supplier_day_panel(spark, folder))
+    return _rounded(fill_linear(p, spec, maxgap=6, label="linear"))
+
+
 def q_ltmean_share(spark, folder):
     p = supplier_panel(spark, folder)
     return _rounded(longterm_shares(p, pair=TARGETS, measure="rpw", mean_start=START))
@@ -264,6 +271,15 @@ def q_index_fixed_cv(spark, folder):
     )
 
 
+def q_index_older(spark, folder):
+    """Shares of two versions of the panel, the older one without its last years."""
+    p, spec = _suppliers(spark, folder)
+    older = p.where(F.col("year") < 1998)
+    return _rounded(
+        share_and_linear_index(p, spec, pair=TARGETS, mean_start=START, start=START, older=older, scale=1000.0)
+    )
+
+
 def q_reconcile_total(spark, folder):
     p, spec = _suppliers(spark, folder)
     total = total_index(_total_ratio(p, spec), spec, group=())
@@ -326,6 +342,22 @@ def q_compare_methods(spark, folder):
     return _rounded(out.totals)
 
 
+def q_compare_methods_estimated(spark, folder):
+    """The whole comparison with parameters that are estimated on the grid of points."""
+    p, spec = _suppliers(spark, folder)
+    out = compare_methods(
+        p,
+        spec,
+        targets=TARGETS,
+        neighbour=NEIGHBOUR,
+        schedule=SCHEDULE,
+        start=START,
+        areas=AREAS,
+        ar1_options={"method": "grid"},
+    )
+    return _rounded(out.scores)
+
+
 # --- AR(1) model ----------------------------------------------------------------------
 
 
@@ -345,6 +377,13 @@ def q_ar1_filter_daily(spark, folder):
     return _rounded(ar1_filter(series, FIXED_DAILY, spec))
 
 
+def q_ar1_filter_supplier_days(spark, folder):
+    p, spec = _stored(supplier_day_panel(spark, folder))
+    series = ar1_series(p, spec, areas=TARGETS)
+    out = ar1_filter(series, FIXED_DAILY, spec)
+    return _rounded(out.select("species", "measure", "strata", "year", "m", "p", "nll"))
+
+
 def q_ar1_grid_fit(spark, folder):
     series, spec = _series(spark, folder)
     return _rounded(ar1_fit(series, spec, method="grid"))
@@ -366,6 +405,30 @@ def q_ar1_fill(spark, folder):
     return _rounded(_ar1(*_suppliers(spark, folder)))
 
 
+def q_ar1_fill_estimated(spark, folder):
+    p, spec = _suppliers(spark, folder)
+    return _rounded(fill_ar1(p, spec, targets=TARGETS, method="grid", start=START))
+
+
+def _given_fit(series: DataFrame) -> DataFrame:
+    """The fixed parameters with a covariance, as a fit would give them per group."""
+    given = dict(zip(("log_pe", "logit_rho", "cov_pe", "cov_rho", "cov_both"), (*FIXED, 0.04, 0.25, 0.03)))
+    return series.select("species", "measure").distinct().withColumns({n: F.lit(v) for n, v in given.items()})
+
+
+def q_ar1_predict_total_se(spark, folder):
+    series, spec = _series(spark, folder)
+    return _rounded(ar1_predict(series, _given_fit(series), spec, total_se=True))
+
+
+def q_prediction_score(spark, folder):
+    p, spec = _suppliers(spark, folder)
+    series = ar1_series(p, spec, areas=TARGETS)
+    grid = complete_grid(p, spec).where(F.col("strata").isin(*TARGETS))
+    table = obs_pred_table(grid, ar1_predict(series, FIXED, spec), spec, measure="rpw")
+    return _rounded(score_predictions(table, spec, measure="rpw"))
+
+
 def q_ar1_obs_pred(spark, folder):
     p, spec = _suppliers(spark, folder)
     series = ar1_series(p, spec, areas=TARGETS)
@@ -379,6 +442,13 @@ def q_ar1_mle_fit(spark, folder):
     return ar1_fit(materialize(series), spec, method="mle")
 
 
+def q_ar1_estimate(spark, folder):
+    """Objective at the estimate; on a ridge the parameters themselves are free."""
+    series, spec = _series(spark, folder)
+    out = ar1_fit(materialize(series), spec, method="mle")
+    return out.select("species", "measure", F.round("nll", 3).alias("nll"), "converged")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Total index per market segment and year after filling by the ratio method."""
     p, spec = _stored(segment_panel(spark, folder))

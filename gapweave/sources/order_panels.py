@@ -103,6 +103,18 @@ def daily_panel(spark: SparkSession, folder: str) -> DataFrame:
     return _cells(rows.where(SCHEDULE.surveyed("r_name", day)), keys, "o_totalprice")
 
 
+def supplier_day_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items per supplier, day (counted from 1970) and region, in the schedule.
+
+    Many series that each span several blocks of time.
+    """
+    items = _table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    rows = _orders_with_region(spark, folder).join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    day = F.unix_date(F.to_date("o_orderdate"))
+    keys = {"species": F.col("l_suppkey").cast("string"), "year": day, "strata": F.col("r_name")}
+    return _cells(rows.where(SCHEDULE.surveyed("r_name", day)), keys, "l_extendedprice")
+
+
 def supplier_total(spark: SparkSession, folder: str) -> DataFrame:
     """Line items per supplier and year over all regions and years."""
     items = _table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")

@@ -6,6 +6,8 @@ queries over whole series; none of the library's blocks or folds appear here.
 
 from __future__ import annotations
 
+import re
+
 Z = "1.959963984540054"
 Z90 = "1.2815515655446004"  # normal quantile at 0.9
 TARGETS = "('AFRICA', 'AMERICA')"
@@ -65,6 +67,13 @@ DAYS = cells(
     REGIONS,
     surveyed("r_name", DAY),
 )
+SUPPLIER_DAYS = cells(
+    "panel",
+    {"species": "cast(l_suppkey as varchar)", "year": DAY, "strata": "r_name"},
+    "l_extendedprice",
+    ITEMS,
+    surveyed("r_name", DAY),
+)
 TOTAL = cells(
     "published",
     {"species": "cast(l_suppkey as varchar)", "year": YEAR},
@@ -214,8 +223,12 @@ def observations() -> str:
   from ({one('rpn')} union all {one('rpw')}))"""
 
 
-def filtered(params: str) -> str:
-    """Kalman filter along each series; ``params`` selects ``(k, p0, rho)``."""
+def filtered(params: str, per_group: bool = False) -> str:
+    """Kalman filter along each series; ``params`` selects ``(k, p0, rho)``.
+
+    With ``per_group`` they are given for each ``(species, measure)``.
+    """
+    with_params = "obs join params using (species, measure)" if per_group else "obs, params"
     step = lambda mp, pp: f"""{mp} as m_pred, {pp} as p_pred,
       case when y is null then {mp} else {mp} + ({pp}) / (({pp}) + r) * (y - ({mp})) end as m,
       case when y is null then {pp} else ({pp}) * r / (({pp}) + r) end as p,
@@ -226,7 +239,7 @@ def filtered(params: str) -> str:
     return f"""params as ({params}),
 f as (
   select k, p0, rho, species, measure, strata, year, pos, {step('cast(0 as double)', 'p0')}
-  from obs, params where pos = 1
+  from {with_params} where pos = 1
   union all
   select f.k, f.p0, f.rho, o.species, o.measure, o.strata, o.year, o.pos, {following}
   from f join obs o on o.species = f.species and o.measure = f.measure and o.strata = f.strata and o.pos = f.pos + 1)"""
@@ -244,7 +257,8 @@ s as (
   union all
   select f.*, f.m + (f.p * f.rho / s.p_pred) * (s.ms - s.m_pred),
     f.p + (f.p * f.rho / s.p_pred) * (f.p * f.rho / s.p_pred) * (s.ps - s.p_pred)
-  from s join f on f.species = s.species and f.measure = s.measure and f.strata = s.strata and f.pos = s.pos - 1)"""
+  from s join f on f.species = s.species and f.measure = s.measure and f.strata = s.strata and f.pos = s.pos - 1
+    and f.k = s.k)"""
 
 PREDICTED = f"""pred as (
   select species, measure, strata, year, ms as log_pred, sqrt(ps) as log_se, exp(ms) as pred,
@@ -254,6 +268,48 @@ PREDICTED = f"""pred as (
 FIXED = [observations(), filtered(fixed(1.0, 3.0)), SMOOTHED, PREDICTED]
 FIXED_DAILY = fixed(0.5, 2.0)
 
+# Starting points of a fit, and the best of them per species and measure.
+POINTS = """(select unnest([-3, -2, -1, 0, 1, 2, 3, 4]::double[]) as a) x,
+  (select unnest([0, 1, 2, 4, 6, 8]::double[]) as b) y"""
+
+
+def suffixed(text: str, names: str, suffix: str) -> str:
+    """The same CTEs under other names."""
+    return re.sub(rf"\b({names})\b", rf"\g<1>{suffix}", text)
+
+
+def fit_step(n: int, points: str) -> str:
+    """Objective per group at its points ``(species, measure, k, a, b)``, and the best of them."""
+    steps = filtered(f"select *, {natural('a', 'b')} from ({points})", per_group=True)
+    return f"""{suffixed(steps, 'params|f', str(n))},
+best{n} as materialized (
+  select species, measure, a, b, nll from (
+    select species, measure, a, b, nll, row_number() over (partition by species, measure order by nll, k) as rank
+    from (select species, measure, k, sum(nll) as nll from f{n} group by all) join params{n} using (species, measure, k))
+  where rank = 1)"""
+
+
+FIRST_FIT = fit_step(
+    0,
+    f"""select species, measure, k, a, b from (select distinct species, measure from obs),
+      (select row_number() over (order by a, b) - 1 as k, a, b from {POINTS})""",
+)
+
+
+def zoomed(n: int, step: float) -> str:
+    """A finer grid around the best point so far, which is its first point."""
+    offsets = "(select unnest(range(-3, 4)) as i) x, (select unnest(range(-3, 4)) as j) y"
+    return fit_step(
+        n,
+        f"""select species, measure, abs(i) * 100 + abs(j) * 10 + cast(i > 0 as int) * 2 + cast(j > 0 as int) as k,
+          a + i * {step} as a, b + j * {step} as b from best{n - 1}, {offsets}""",
+    )
+
+
+ZOOM = [2.0, 2.0, 1.0] + [0.4**n for n in range(1, 9)]
+
+BEST_PARAMS = f"select species, measure, 0 as k, {natural('a', 'b')} from best0"
+
 AR1 = f"""ar1 as (
   select g.species, g.year, g.strata, coalesce(g.rpn, n.pred) as rpn, g.rpn_var,
     coalesce(g.rpw, w.pred) as rpw, g.rpw_var, 'ar1' as method
@@ -408,6 +464,9 @@ ORACLE: dict[str, str] = {
     ),
     "linear_fill": chain(PANEL, GRID, LINEAR, final=keep(CELL + " method", VALUES, "linear")),
     "linear_fill_daily": chain(DAYS, GRID, linear(None, 6), final=keep(CELL + " method", VALUES, "linear")),
+    "linear_fill_supplier_days": chain(
+        SUPPLIER_DAYS, GRID, linear(None, 6), final=keep(CELL + " method", VALUES, "linear")
+    ),
     "ltmean_share": chain(PANEL, shares("rpw"), final=keep("species", "mean_a mean_b share_a share_b", "shares")),
     "ltmean_fill": chain(PANEL, ltmean("rpw"), final=keep(CELL + " method", "rpw", "ltmean")),
     "total_index": chain(
@@ -447,6 +506,30 @@ ORACLE: dict[str, str] = {
               (rpn - 1.96 * sqrt(rpn_var)) / 1000 as lci, (rpn + 1.96 * sqrt(rpn_var)) / 1000 as uci from index)""",
         ),
     ),
+    "index_older": chain(
+        PANEL,
+        "panel_older as (select * from panel where year < 1998)",
+        f"""grid as (
+          select s.species, y.year, s.strata, p.rpn, p.rpn_var, p.rpw, p.rpw_var
+          from (select distinct species, strata from panel where strata in {TARGETS}) s
+          join (select distinct species, year from panel where strata in {TARGETS}) y on s.species = y.species
+          left join panel p on p.species = s.species and p.strata = s.strata and p.year = y.year)""",
+        LINEAR,
+        ltmean("rpn"),
+        suffixed(ltmean("rpn"), "shares|span|wide|pairs|pairs_a|pairs_b|ltmean|panel", "_older"),
+        """sums as (select species, method, year, coalesce(sum(rpn), 0) as rpn, coalesce(sum(rpn_var), 0) as v
+          from (select species, method, year, rpn, rpn_var from linear
+                union all select species, method, year, rpn, null from ltmean
+                union all select species, method, year, rpn, null from ltmean_older) group by all),
+        index as (select species, method, year, rpn,
+          case when v = 0 then (0.2 * rpn) * (0.2 * rpn) else v end as rpn_var from sums)""",
+        final=keep(
+            "species method year",
+            "rpn rpn_var lci uci",
+            """(select species, method, year, rpn / 1000 as rpn, rpn_var,
+              (rpn - 1.96 * sqrt(rpn_var)) / 1000 as lci, (rpn + 1.96 * sqrt(rpn_var)) / 1000 as uci from index)""",
+        ),
+    ),
     "reconcile_total": chain(
         PANEL,
         GRID,
@@ -580,6 +663,13 @@ ORACLE: dict[str, str] = {
         filtered(FIXED_DAILY),
         final=keep("species measure strata year", "m_pred p_pred m p nll", "f"),
     ),
+    "ar1_filter_supplier_days": chain(
+        SUPPLIER_DAYS,
+        GRID,
+        observations(),
+        filtered(FIXED_DAILY),
+        final=keep("species measure strata year", "m p nll", "f"),
+    ),
     "ar1_grid_fit": chain(
         PANEL,
         GRID,
@@ -596,6 +686,77 @@ ORACLE: dict[str, str] = {
     "ar1_predict": chain(
         PANEL, GRID, *FIXED, final=keep("species measure strata year", PRED, "pred")
     ),
+    "ar1_estimate": chain(
+        PANEL,
+        GRID,
+        observations(),
+        FIRST_FIT,
+        *(zoomed(n, step) for n, step in enumerate(ZOOM, 1)),
+        """seen as (select species, measure, count(y) > 0 as converged from obs group by all)""",
+        final=f"""select species, measure, round(case when converged then nll end, 3) as nll, converged
+          from seen join best{len(ZOOM)} using (species, measure)""",
+    ),
+    "ar1_fill_estimated": chain(
+        PANEL,
+        GRID,
+        observations(),
+        FIRST_FIT,
+        filtered(BEST_PARAMS, per_group=True),
+        SMOOTHED,
+        PREDICTED,
+        AR1,
+        final=keep(CELL + " method", VALUES, "ar1"),
+    ),
+    "compare_methods_estimated": chain(
+        PANEL,
+        GRID,
+        LAGS,
+        TOTAL_RATIO,
+        NEIGHBOUR_RATIO,
+        LINEAR,
+        observations(),
+        FIRST_FIT,
+        filtered(BEST_PARAMS, per_group=True),
+        SMOOTHED,
+        PREDICTED,
+        AR1,
+        stacked("total_ratio", "neighbour_ratio", "linear", "ar1"),
+        SCORES,
+        final=keep("species strata method", "rpn_stat rpw_stat", "scores"),
+    ),
+    "ar1_predict_total_se": chain(
+        PANEL,
+        GRID,
+        observations(),
+        filtered(
+            f"""select k, {natural('a', 'b')} from (values (0, 1.0::double, 3.0::double), (1, 1.001, 3.0),
+              (2, 0.999, 3.0), (3, 1.0, 3.001), (4, 1.0, 2.999)) v(k, a, b)"""
+        ),
+        SMOOTHED,
+        """sides as (
+          select species, measure, strata, year, max(case when k = 0 then ms end) as ms, max(case when k = 0 then ps end) as ps,
+            (max(case when k = 1 then ms end) - max(case when k = 2 then ms end)) / 0.002 as sx,
+            (max(case when k = 3 then ms end) - max(case when k = 4 then ms end)) / 0.002 as sy
+          from s group by all)""",
+        PREDICTED.replace("from s)", """from (
+    select species, measure, strata, year, ms, ps + 0.04 * sx * sx + 2 * 0.03 * sx * sy + 0.25 * sy * sy as ps from sides))"""),
+        final=keep("species measure strata year", PRED, "pred"),
+    ),
+    "prediction_score": chain(
+        PANEL,
+        GRID,
+        *FIXED,
+        f"""ahead as (
+          select g.species, g.strata, p.pred, lead(g.rpw) over (partition by g.species, g.strata order by g.year) as next_obs
+          from grid g left join pred p on p.species = g.species and p.strata = g.strata and p.year = g.year
+            and p.measure = 'rpw'
+          where g.strata in {TARGETS})""",
+        final=keep(
+            "species strata",
+            "pred_stat",
+            f"(select species, strata, avg({pdiff('next_obs', 'pred')}) as pred_stat from ahead group by all)",
+        ),
+    ),
     "ar1_predict_daily": chain(
         DAYS,
         GRID,

@@ -118,6 +118,20 @@ def test_total_error_of_predictions(case, fit, rows, best, covariance):
         assert got[k] == pytest.approx((mean, math.sqrt(var + slope @ covariance @ slope)), abs=2e-4)
 
 
+def test_total_error_at_every_block_length(panel, rows):
+    p = materialize(panel(rows))
+    given = ar1_series(p).select("species", "measure").distinct().withColumns(
+        {n: F.lit(v) for n, v in (("log_pe", 0.1), ("logit_rho", 1.5), ("cov_pe", 0.04), ("cov_rho", 0.2), ("cov_both", 0.01))}
+    )
+    found = []
+    for spec in (PANEL.measured(p), PANEL.with_(block_span=3)):
+        out = ar1_predict(ar1_series(p, spec, areas=PAIR), given, spec, total_se=True)
+        found.append(as_dict(out, "log_pred", "log_se", key=("measure", "strata", "year")))
+    assert len(found[0]) == 64 and found[0].keys() == found[1].keys()
+    for k, v in found[0].items():
+        assert found[1][k] == pytest.approx(v, rel=1e-7)
+
+
 def test_fill_with_estimated_parameters(case, rows, best):
     p, spec = case
     got = as_dict(fill_ar1(p, spec, targets=PAIR), "rpn")
