@@ -20,6 +20,8 @@ from gapweave.operators.blocks import (
 from gapweave.operators.grid import OFFSET, POS, RUN, Context
 from gapweave.spec import PANEL, PanelSpec
 
+SKIPPED = "_skipped"  # grid rows of the key before the start
+
 
 def _point(pos, x, v) -> Column:
     return F.struct(pos.alias("pos"), x.alias("x"), v.cast("double").alias("v"))
@@ -43,9 +45,11 @@ def _carried(columns: Sequence[str], keys: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def interpolation_context(columns: Sequence[str], spec: PanelSpec, x: str) -> Context:
+def interpolation_context(columns: Sequence[str], spec: PanelSpec, x: str, start: int | None = None) -> Context:
     """Context of :func:`interpolate_blocks` from the data rows of each block."""
     summaries, block = [], {"_size": F.size(RUN)}
+    if start is not None:
+        block[SKIPPED] = F.size(F.filter(RUN, lambda moment: moment[spec.time] < start))
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.col(spec.time))
         summaries += [
@@ -62,7 +66,12 @@ def interpolation_context(columns: Sequence[str], spec: PanelSpec, x: str) -> Co
             point = _point(pos, pos if x == POS else t, F.col(f"_{end}_v_{c}"))
             block[f"_{end}_{c}"] = F.when(t.isNotNull(), point)
         block[f"_known_{c}"] = F.col(f"_known_{c}")
-    return Context(summaries, block, lambda keys: _carried(columns, keys))
+
+    def carried(keys):
+        early = {} if start is None else {SKIPPED: F.sum(SKIPPED).over(everything(blocks_in_order(keys)))}
+        return _carried(columns, keys) | early
+
+    return Context(summaries, block, carried)
 
 
 def interpolate_blocks(
@@ -73,6 +82,7 @@ def interpolate_blocks(
     *,
     x: str,
     maxgap: int = 20,
+    start: int | None = None,
 ) -> DataFrame:
     """Interpolate ``columns`` of rows that are partitioned by ``(keys, block)``.
 
@@ -80,12 +90,17 @@ def interpolate_blocks(
     The nearest value is carried past the first and last one; runs of more than
     ``maxgap`` missing rows, and series with fewer than two values, are left alone.
     Unless the panel fits into one block, the rows carry the columns of
-    :func:`interpolation_context`.
+    :func:`interpolation_context`. With ``start`` the columns have no values before it, and
+    runs of missing rows are counted from there.
     """
     forwards, backwards = within_block(keys, spec.time), within_block(keys, spec.time, backwards=True)
     whole = whole_block(keys, spec.time)
     ends = [] if not spec.one_block else [(F.max(POS).over(whole) + 1).alias("_rows")]
-    helpers = ["_rows"]
+    helpers, first = ["_rows"], F.lit(0)
+    if start is not None:
+        helpers, first = [*helpers, SKIPPED], F.col(SKIPPED)
+        if spec.one_block:
+            ends.append(F.count(F.when(F.col(spec.time) < start, 1)).over(whole).alias(SKIPPED))
     for c in columns:
         here = F.when(F.col(c).isNotNull(), _point(F.col(POS), F.col(x), F.col(c)))
         p = F.last(here, ignorenulls=True).over(so_far(forwards))
@@ -105,7 +120,7 @@ def interpolate_blocks(
         line = p["v"] + (q["v"] - p["v"]) * share
         value = F.when(p.isNull(), q["v"]).when(q.isNull(), p["v"]).otherwise(line)
         # Length of the run of missing rows this row belongs to.
-        run = F.coalesce(q["pos"], F.col("_rows")) - F.coalesce(p["pos"], F.lit(-1)) - 1
+        run = F.coalesce(q["pos"], F.col("_rows")) - F.coalesce(p["pos"], first - 1) - 1
         usable = F.col(c).isNull() & (F.col(f"_n_{c}") >= 2) & (run <= maxgap)
         filled[c] = F.when(usable, value).otherwise(F.col(c))
     return df.withColumns(filled).drop(*helpers)

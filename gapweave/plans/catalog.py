@@ -23,6 +23,7 @@ from gapweave.operators.interpolate import interpolate
 from gapweave.operators.linear import cv_table, fill_linear
 from gapweave.operators.project import drop_like, select_like
 from gapweave.operators.ratio import assign_mean_cv_variance, fill_ratio, lag_first_default
+from gapweave.operators.several import fill_several
 from gapweave.operators.share import fill_ltmean, longterm_shares
 from gapweave.operators.stack import compare_external, score_methods, score_predictions, stack_methods
 from gapweave.plans.survey_index import compare_methods, share_and_linear_index
@@ -89,6 +90,12 @@ def _ar1(p: DataFrame, spec: PanelSpec) -> DataFrame:
     return fill_ar1(p, spec, targets=TARGETS, params=FIXED, start=START, label="ar1")
 
 
+def _several(p: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The first three methods from one grid."""
+    references = {"total_ratio": None, "neighbour_ratio": NEIGHBOUR}
+    return fill_several(p, spec, targets=TARGETS, references=references, start=START)
+
+
 def _stack(p: DataFrame, spec: PanelSpec, fills) -> DataFrame:
     return stack_methods(
         [f(p, spec) for f in fills], spec, schedule=SCHEDULE, areas=AREAS, methods=METHODS
@@ -289,7 +296,7 @@ def q_reconcile_total(spark, folder):
 
 def q_method_stack(spark, folder):
     p, spec = _suppliers(spark, folder)
-    out = _stack(p, spec, (_total_ratio, _neighbour_ratio, _linear))
+    out = _stack(p, spec, (_several,))
     return _rounded(out.drop("area_order", "method_order"))
 
 
@@ -303,7 +310,7 @@ def q_ordered_methods(spark, folder):
 def q_method_score(spark, folder):
     p, spec = _suppliers(spark, folder)
     # Scores read the stack twice only where series span several blocks; stored once here.
-    out = materialize(_stack(p, spec, (_total_ratio, _neighbour_ratio, _linear, _ar1)))
+    out = materialize(_stack(p, spec, (_several, _ar1)))
     out = score_methods(out, spec, targets=TARGETS, ranked=True)
     return _rounded(out).orderBy("species", "strata", "score_rank")
 
@@ -311,9 +318,9 @@ def q_method_score(spark, folder):
 def q_compare_external(spark, folder):
     p, spec = _suppliers(spark, folder)
     grid = complete_grid(p.where(F.col("strata").isin(*TARGETS)), spec)
-    linear = materialize(_linear(p, spec))
-    external = _total_ratio(p, spec).unionByName(_neighbour_ratio(p, spec)).unionByName(linear)
-    external = external.unionByName(linear.withColumn("method", F.lit("withdrawn")))
+    external = materialize(_several(p, spec))
+    withdrawn = external.where("method = 'linear'").withColumn("method", F.lit("withdrawn"))
+    external = external.unionByName(withdrawn)
     return _rounded(
         compare_external(
             grid.select("species", "year", "strata", F.col("rpn").alias("obs")),

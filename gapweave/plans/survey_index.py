@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from gapweave.operators.ar1 import fill_ar1
 from gapweave.operators.index import index_with_ci, total_index
 from gapweave.operators.linear import fill_linear
-from gapweave.operators.ratio import fill_ratio
+from gapweave.operators.several import fill_several
 from gapweave.operators.share import fill_ltmean
 from gapweave.operators.stack import score_methods, stack_methods, union_panels
 from gapweave.spec import PANEL, PanelSpec, Schedule
@@ -37,13 +37,18 @@ def compare_methods(
 ) -> Comparison:
     """Fill by four methods, score them against the next observation and add areas up.
 
-    The panel should be a stored table: every method reads it. The stack is written
+    The panel should be a stored table, which is read several times: ratios and interpolation
+    share one grid, the AR(1) model has its own. The stack is written
     once, as scores and totals both read it.
     """
     filled = [
-        fill_ratio(panel, spec, targets=targets, start=start, label="total_ratio"),
-        fill_ratio(panel, spec, targets=targets, reference=neighbour, start=start, label="neighbour_ratio"),
-        fill_linear(panel, spec, start=start, label="linear"),
+        fill_several(
+            panel,
+            spec,
+            targets=targets,
+            references={"total_ratio": None, "neighbour_ratio": neighbour},
+            start=start,
+        ),
         fill_ar1(panel, spec, targets=targets, start=start, label="ar1", **(ar1_options or {})),
     ]
     methods = ["total_ratio", "neighbour_ratio", "linear", "ar1"]

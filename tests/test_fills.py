@@ -9,6 +9,7 @@ from gapweave.operators.grid import complete_grid
 from gapweave.operators.interpolate import interpolate
 from gapweave.operators.linear import fill_linear
 from gapweave.operators.ratio import assign_mean_cv_variance, fill_ratio, reference_ratio
+from gapweave.operators.several import fill_several
 from gapweave.operators.share import check_alternating, fill_ltmean, longterm_shares
 from gapweave.spec import PANEL
 
@@ -193,3 +194,30 @@ def test_fills_keep_observed_values_and_species_are_independent(panel):
             assert v is None or together[s, a, y][0] == v
         alone = as_dict(fill(p.where(F.col("species") == "s1")), "rpn", "rpn_var")
         assert_same({k: v for k, v in together.items() if k[0] == "s1"}, alone)
+
+
+@pytest.mark.parametrize("span", [1024, 4])
+def test_several_methods_on_one_grid(panel, span):
+    rows = [
+        ("s", y, a, 10.0 + y % 7 + k, (0.1 + 0.01 * k) * y % 3 + 0.5, 5.0 + k, 0.3)
+        for y in range(1990, 2006)
+        for k, a in enumerate(("A", "B", "C", "D"))
+        if not (a == "A" and y % 2) and not (a == "B" and y < 1999 and y != 1993) and not (a == "D" and y in (1996, 1997))
+    ]
+    p = panel(rows)
+    spec = PANEL.measured(p) if span == 1024 else PANEL.with_(block_span=span)
+    options = dict(targets=["A", "B"], start=1995)
+    for maxgap in (1, 20):
+        got = fill_several(p, spec, references={"t": None, "n": "C"}, maxgap=maxgap, **options)
+        apart = [
+            fill_ratio(p, spec, label="t", **options),
+            fill_ratio(p, spec, reference="C", label="n", **options),
+            fill_linear(p, spec, start=1995, maxgap=maxgap),
+        ]
+        want = apart[0].unionByName(apart[1]).unionByName(apart[2])
+        key = ("method", "strata", "year")
+        values = ("rpn", "rpn_var", "rpw", "rpw_var")
+        got, want = as_dict(got, *values, key=key), as_dict(want, *values, key=key)
+        assert got.keys() == want.keys() and len(got) == 3 * 4 * 11
+        for k in want:
+            assert got[k] == pytest.approx(want[k]), k
