@@ -163,10 +163,46 @@ select doc_id, source, cast(coalesce(n_lines, 0) as int) as n_lines,
 from docs left join kept using (r)
 """
 
+OP13 = f"""
+with judged as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as body, {WORDS} as w from documents),
+marks as (select doc_id, max(quality) as good, max(toxic) as toxic from labels where doc_id is not null group by doc_id),
+failing as (
+  select part, j.doc_id, m.good, m.toxic, cast(len(w) < 200 as int)
+    + 2 * cast(100 * len(list_distinct(w)) < 50 * len(w) as int)
+    + 4 * cast(100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 3 * length(body) as int)
+    + 8 * cast(regexp_matches(body, '[#$%&*|]') as int)
+    + 16 * cast(coalesce(min(j.doc_id) over (partition by body) < j.doc_id, false) as int) as fails
+  from judged j left join marks m on j.doc_id = m.doc_id),
+counts as (
+  select part, fails, count(*) as n, count(*) filter (where good = 1) as good, count(*) filter (where toxic = 1) as toxic
+  from failing group by part, fails),
+letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order,
+         [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letters a, letters b, letters c, letters d, letters e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (
+  select filter_order, step, bits[step] as bit, list_sum(bits[1:step]) - bits[step] as earlier
+  from orders, (select unnest(range(1, 6)) as step)),
+done as (
+  select part, filter_order, cast(step as int) as step, bit,
+    coalesce(sum(n) filter (where fails & (earlier | bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where fails & earlier = 0 and fails & bit <> 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where fails & earlier <> 0 and fails & bit <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where fails = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where fails & earlier = 0 and fails & bit <> 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where fails & earlier = 0 and fails & bit <> 0), 0)::bigint as toxic_lost
+  from counts, (select filter_order, step, bit, cast(earlier as bigint) as earlier from steps)
+  group by part, filter_order, step, bit)
+select * exclude (bit), cast(sum(removed) over (partition by part, bit) as bigint) as shapley from done
+"""
+
 ORACLE = {
     "op2_curriculum_mix": OP2,
     "op3_license_dice": OP3,
     "op5_rule_ledger": OP5,
     "op8_preference_pairs": OP8,
     "op9_site_lines": OP9,
+    "op13_filter_interactions": OP13,
 }

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapweave.llm.arc_warc import convert_pages
 from gapweave.llm.decontaminate import contaminated
+from gapweave.llm.filter_audit import audit_text_filters
 from gapweave.llm.license_scan import scan_licenses
 from gapweave.llm.line_dedup import drop_boilerplate
 from gapweave.llm.minhash_icws import near_duplicates
 from gapweave.llm.mixing import in_training_order, mix_sources
 from gapweave.llm.preferences import format_preferences, reply_pairs
 from gapweave.llm.quality_rules import kept, ledger
+from gapweave.llm.spelling_variants import spelling_variants
 from gapweave.llm.suffix_dedup import removed_spans
+from gapweave.llm.wavelet_ids import encode_corpus, read_documents
 from gapweave.llm.zstd_quality import fit_quality, held_out, score_quality
 
 
@@ -94,6 +97,22 @@ def op10_zstd_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_wavelet_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return read_documents(encode_corpus(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return audit_text_filters(docs, table(spark, folder, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,5 +126,8 @@ QUERIES = {
         op8_preference_pairs,
         op9_site_lines,
         op10_zstd_quality,
+        op11_wavelet_ids,
+        op12_spelling_variants,
+        op13_filter_interactions,
     )
 }
