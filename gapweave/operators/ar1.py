@@ -11,11 +11,15 @@ García-Fernández, 2021). Hence a series of any length is folded per block, the
 blocks are folded per group of blocks and those per series; on the way back each
 block learns the filtered state before it and the information after it, and works
 out its own rows.
+
+An unknown mean, asked for by ``demean``, is a second column through the same folds: a
+run then also keeps how its numbers change with the mean, ten in all. The objective is a
+square in the mean, so series that share one only add up two numbers each, and the mean
+is their quotient (generalised least squares).
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gapweave.functions.intervals import ci, lognormal_limits
 from gapweave.functions.scalars import as_col, cv, log_positive, log_sd, log_var
+from gapweave.operators.ar1_slopes import LEAST, best_mean_batches, fold_batches
 from gapweave.operators.blocks import BLOCK, join_on_group
 from gapweave.operators.grid import COUNT, grid_blocks, single_rows
 from gapweave.spec import PANEL, PanelSpec
@@ -33,9 +38,10 @@ GROUP = "_super"
 RADIX = 1024  # blocks per group of blocks: no array is longer, whatever the series
 CHUNK = 32  # rows worked through in one go; results are appended, at a cost of its square
 EDGES = ("_m", "_p", "_eta", "_j")  # state before a block and information after it
-LEAST = 1e-200  # keeps the innovation variance above zero at rho = 1
 
 Params = tuple[float, float] | DataFrame
+Demean = bool | Sequence[str]
+PARAMS = ("log_pe", "logit_rho")
 
 
 # --- one row, and runs of rows -------------------------------------------------------
@@ -50,14 +56,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _identity() -> Column:
-    return _struct(a=1.0, b=0.0, c=0.0, eta=0.0, j=0.0, ll=0.0)
+# With a mean u taken off each value, a run's b is b - b1*u, its eta is eta - eta1*u and
+# its ll is ll + l1*u - l2*u^2/2.
+SLOPES = ("b1", "eta1", "l1", "l2")
+
 
+def _identity(mean: bool = False) -> Column:
+    more = dict.fromkeys(SLOPES, 0.0) if mean else {}
+    return _struct(a=1.0, b=0.0, c=0.0, eta=0.0, j=0.0, ll=0.0, **more)
 
-def _row(x: Column, rho: Column, q: Column) -> Column:
+
+def _row(x: Column, rho: Column, q: Column, mean: bool = False) -> Column:
     """Effect of one row: next state ``a*s + b`` with variance ``c``, and what its
     value tells about the state ``s`` before, ``exp(ll + eta*s - j*s^2/2)``."""
     s, y, r = q + x["r"], x["y"], x["r"]
+    more = {"b1": q / s, "eta1": rho / s, "l1": y / s, "l2": 1.0 / s} if mean else {}
     seen = _struct(
         a=rho * r / s,
         b=q * y / s,
@@ -65,13 +78,24 @@ def _row(x: Column, rho: Column, q: Column) -> Column:
         eta=rho * y / s,
         j=rho * rho / s,
         ll=-0.5 * (F.log(2.0 * math.pi * s) + y * y / s),
+        **more,
     )
-    return F.when(y.isNotNull(), seen).otherwise(_struct(a=rho, b=0.0, c=q, eta=0.0, j=0.0, ll=0.0))
+    blank = dict.fromkeys(more, 0.0)
+    return F.when(y.isNotNull(), seen).otherwise(_struct(a=rho, b=0.0, c=q, eta=0.0, j=0.0, ll=0.0, **blank))
 
 
-def _combine(e: Column, f: Column) -> Column:
+def _combine(e: Column, f: Column, mean: bool = False) -> Column:
     """Run ``e`` followed by run ``f``."""
     d = 1.0 + e["c"] * f["j"]
+    more = {}
+    if mean:
+        b, b1, eta, eta1, c, j = e["b"], e["b1"], f["eta"], f["eta1"], e["c"], f["j"]
+        more = {
+            "b1": f["a"] * (b1 + c * eta1) / d + f["b1"],
+            "eta1": e["a"] * (eta1 - j * b1) / d + e["eta1"],
+            "l1": e["l1"] + f["l1"] + (j * b * b1 - c * eta * eta1 - eta * b1 - eta1 * b) / d,
+            "l2": e["l2"] + f["l2"] + (j * b1 * b1 - c * eta1 * eta1 - 2.0 * eta1 * b1) / d,
+        }
     return _struct(
         a=f["a"] * e["a"] / d,
         b=f["a"] * (e["b"] + e["c"] * f["eta"]) / d + f["b"],
@@ -82,6 +106,7 @@ def _combine(e: Column, f: Column) -> Column:
         + f["ll"]
         - 0.5 * F.log(d)
         + (f["eta"] * e["b"] - 0.5 * f["j"] * e["b"] * e["b"] + 0.5 * e["c"] * f["eta"] * f["eta"]) / d,
+        **more,
     )
 
 
@@ -97,12 +122,25 @@ def _before(eta: Column, j: Column, e: Column) -> tuple[Column, Column]:
     return e["a"] * (eta - j * e["b"]) / d + e["eta"], e["a"] * e["a"] * j / d + e["j"]
 
 
-def _fold_rows(obs: Column, rho: Column, q: Column) -> Column:
-    return F.aggregate(obs, _identity(), lambda acc, x: _let(_row(x, rho, q), lambda e: _combine(acc, e)))
+def _fold_rows(obs: Column, rho: Column, q: Column, mean: bool = False) -> Column:
+    step = lambda acc, x: _let(_row(x, rho, q, mean), lambda e: _combine(acc, e, mean))
+    return F.aggregate(obs, _identity(mean), step)
+
+
+def _fold_parts(parts: Column, pick=lambda part: part["e"], mean: bool = False) -> Column:
+    return F.aggregate(parts, _identity(mean), lambda acc, part: _combine(acc, pick(part), mean))
+
+
+def _series_nll(e: Column, p0: Column) -> Column:
+    """Objective of a whole series from its fold, the state before it being stationary."""
+    d = 1.0 + p0 * e["j"]
+    return -(e["ll"] - 0.5 * F.log(d) + 0.5 * p0 * e["eta"] * e["eta"] / d)
 
 
-def _fold_parts(parts: Column, pick=lambda part: part["e"]) -> Column:
-    return F.aggregate(parts, _identity(), lambda acc, part: _combine(acc, pick(part)))
+def _series_mean(e: Column, p0: Column) -> tuple[Column, Column]:
+    """What a series adds to the mean's equation: information times mean, and information."""
+    d = 1.0 + p0 * e["j"]
+    return e["l1"] - p0 * e["eta"] * e["eta1"] / d, e["l2"] - p0 * e["eta1"] * e["eta1"] / d
 
 
 def _empty(fields: str) -> Column:
@@ -196,13 +234,13 @@ def _scan(parts: Column, m: Column, p: Column, eta: Column, j: Column) -> tuple[
     return ahead, F.reverse(behind)
 
 
-def _in_chunks(work, edges: Sequence[Column], rho: Column, q: Column) -> Column:
+def _in_chunks(work, edges: Sequence[Column], rho: Column, q: Column, obs: Column | None = None) -> Column:
     """Apply ``work(obs, m, p, eta, j)`` to the rows of a block, chunk by chunk.
 
     A long block is treated like a series of short blocks: fold each chunk, scan the
     folds for the states at the edges, then work inside the chunks.
     """
-    obs = F.col("obs")
+    obs = F.col("obs") if obs is None else obs
     chunks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(obs) - 1) / F.lit(CHUNK)).cast("int")),
         lambda i: _struct(rows=F.slice(obs, i * CHUNK + 1, F.lit(CHUNK))),
@@ -260,17 +298,98 @@ def _with_edges(series: DataFrame, key: Sequence[str], spec: PanelSpec) -> DataF
     return series.join(_edges(series, key), [*key, BLOCK])
 
 
+# --- unknown mean ---------------------------------------------------------------------
+
+
+def _mean_key(series: DataFrame, demean: Demean) -> list[str]:
+    """The columns that tell apart the means: all of a series, or the given ones and the measure."""
+    key = _series_key(series)
+    if demean is True:
+        return key
+    unknown = sorted(set(demean) - set(key))
+    if unknown:
+        raise ValueError(f"means are per series or coarser, not by {unknown}")
+    return [c for c in key if c in {*demean, MEASURE}]
+
+
+def _whole_series(table: DataFrame, key: Sequence[str], spec: PanelSpec) -> DataFrame:
+    """Folds with a mean of blocks ``(key, block, _p0, e)``, combined to one per series."""
+
+    def up(df: DataFrame, keys: Sequence[str], id_: str) -> DataFrame:
+        one = F.struct(F.col(id_).alias("id"), "e")
+        out = df.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("_parts"), F.first("_p0").alias("_p0"))
+        return out.withColumn("e", _fold_parts(F.col("_parts"), mean=True)).drop("_parts")
+
+    if spec.one_block:
+        return table
+    table = table.withColumn(GROUP, _group_of_block())
+    return up(up(table, [*key, GROUP], BLOCK), key, GROUP)
+
+
+def _means(rows: DataFrame, over: Sequence[str], spec: PanelSpec) -> DataFrame:
+    """``(over, _mean, _info)`` of series that have their parameters."""
+    key = [c for c in _series_key(rows) if not c.startswith("_") and c not in PARAMS]
+    folds = rows.select(*key, BLOCK, "_p0", _fold_rows(F.col("obs"), F.col("_rho"), F.col("_q"), True).alias("e"))
+    total, info = _series_mean(F.col("e"), F.col("_p0"))
+    table = _whole_series(folds, key, spec).select(*over, total.alias("_total"), info.alias("_info"))
+    table = table.groupBy(*over).agg(F.sum("_total").alias("_total"), F.sum("_info").alias("_info"))
+    known = F.col("_info") > 0
+    return table.select(
+        *over, F.when(known, F.col("_total") / F.col("_info")).alias("_mean"), F.when(known, F.col("_info")).alias("_info")
+    )
+
+
+def _without_mean(rows: DataFrame, demean: Demean, spec: PanelSpec) -> DataFrame:
+    """Take the mean off the values; adds ``_mean`` and ``_info``, NULL where nothing is observed."""
+    key = [c for c in _series_key(rows) if not c.startswith("_") and c not in PARAMS]
+    over = _mean_key(rows.select(*key), demean)
+    if spec.one_block and len(over) == len(key):
+        # a series is one row: its mean is worked out where it is
+        fold = _fold_rows(F.col("obs"), F.col("_rho"), F.col("_q"), True)
+        total, info = _series_mean(F.col("_e"), F.col("_p0"))
+        known = info > 0
+        rows = rows.withColumn("_e", fold)
+        rows = rows.withColumns({"_mean": F.when(known, total / info), "_info": F.when(known, info)}).drop("_e")
+    else:
+        spread = [c for c in (*key, BLOCK) if c not in over]
+        rows = join_on_group(rows, _means(rows, over, spec), over, spread)
+    shifted = F.transform("obs", lambda x: _struct(t=x["t"], y=x["y"] - F.col("_mean"), r=x["r"]))
+    return rows.withColumn("obs", shifted)
+
+
+def ar1_mean(
+    series: DataFrame, params: Params, spec: PanelSpec = PANEL, *, demean: Demean = True
+) -> DataFrame:
+    """Generalised least squares estimate of the mean: ``mean`` and ``mean_se``.
+
+    A row per series, or per value of the columns given as ``demean`` and measure. NULL where
+    nothing is observed.
+    """
+    rows = _with_params(series, params)
+    over = _mean_key(series, demean)
+    return _means(rows, over, spec).select(*over, F.col("_mean").alias("mean"), (1.0 / F.sqrt("_info")).alias("mean_se"))
+
+
 # --- filter, likelihood and fit -------------------------------------------------------
 
 
-def ar1_filter(series: DataFrame, params: Params, spec: PanelSpec = PANEL) -> DataFrame:
+def ar1_filter(
+    series: DataFrame, params: Params, spec: PanelSpec = PANEL, *, demean: Demean = False
+) -> DataFrame:
     """Predicted and filtered state of every row and its part of the objective.
 
     ``params`` is ``(log_pe, logit_rho)`` or a table with these columns per fit
     group. Gives ``m_pred, p_pred, m, p, nll``; the sum of ``nll`` is the objective.
+
+    ``demean`` gives the series an unknown mean, estimated by generalised least squares:
+    ``True`` for one per series, or the columns that series share one by, such as the keys.
+    The states are then given with the mean, and the objective is that at the mean.
     """
     key = _series_key(series)
-    rows = _with_edges(_with_params(series, params), key, spec)
+    rows = _with_params(series, params)
+    if demean is not False:
+        rows = _without_mean(rows, demean, spec)
+    rows = _with_edges(rows, key, spec)
     rho, q = F.col("_rho"), F.col("_q")
 
     def step(acc, x):
@@ -292,20 +411,27 @@ def ar1_filter(series: DataFrame, params: Params, spec: PanelSpec = PANEL) -> Da
     def work(obs, m, p, eta, j):
         return F.aggregate(obs, _struct(m=m, p=p, out=_empty(fields)), step, lambda acc: acc["out"])
 
-    out = rows.select(*key, F.inline(_in_chunks(work, [F.col(c) for c in EDGES], rho, q)))
-    return out.withColumnRenamed("t", spec.time)
+    states = F.inline(_in_chunks(work, [F.col(c) for c in EDGES], rho, q))
+    if demean is False:
+        return rows.select(*key, states).withColumnRenamed("t", spec.time)
+    out = rows.select(*key, "_mean", states).withColumnRenamed("t", spec.time)
+    return out.withColumns({c: F.col(c) + F.col("_mean") for c in ("m_pred", "m")}).drop("_mean")
 
 
 def spec_time_type(series: DataFrame) -> str:
     return series.schema["obs"].dataType.elementType["t"].dataType.simpleString()
 
 
-def _objective(series: DataFrame, group: Sequence[str], key: Sequence[str], spec: PanelSpec) -> DataFrame:
+def _objective(
+    series: DataFrame, group: Sequence[str], key: Sequence[str], spec: PanelSpec, demean: Demean = False
+) -> DataFrame:
     """Objective per group at each of its candidates, as ``(group, k, nll)``.
 
-    ``series`` carries ``_cands``, an array of ``struct<p0, rho, q>``.
+    ``series`` carries ``_cands``, an array of ``struct<p0, rho, q>``. With ``demean`` it is the
+    objective at the best mean for each candidate.
     """
-    folds = F.transform("_cands", lambda c: _fold_rows(F.col("obs"), c["rho"], c["q"]))
+    mean = demean is not False
+    folds = F.transform("_cands", lambda c: _fold_rows(F.col("obs"), c["rho"], c["q"], mean))
     p0s = F.transform("_cands", lambda c: c["p0"])
     table = series.select(
         *key, BLOCK, _group_of_block().alias(GROUP), p0s.alias("_p0s"), folds.alias("e")
@@ -318,107 +444,145 @@ def _objective(series: DataFrame, group: Sequence[str], key: Sequence[str], spec
         )
         each = F.transform(
             F.sequence(F.lit(0), F.size("_p0s") - 1),
-            lambda k: _fold_parts(F.col("_parts"), lambda part: part["e"][k]),
+            lambda k: _fold_parts(F.col("_parts"), lambda part: part["e"][k], mean),
         )
         return out.select(*keys, "_p0s", each.alias("e"))
 
     if not spec.one_block:
         table = up(up(table, [*key, GROUP], BLOCK), key, GROUP)
 
-    def nll(e, p0):
-        d = 1.0 + p0 * e["j"]
-        return -(e["ll"] - 0.5 * F.log(d) + 0.5 * p0 * e["eta"] * e["eta"] / d)
+    if not mean:
+        rows = table.select(*group, F.posexplode(F.zip_with("e", "_p0s", _series_nll)).alias("k", "nll"))
+        return rows.groupBy(*group, "k").agg(F.sum("nll").alias("nll"))
+
+    def parts(e, p0):
+        total, info = _series_mean(e, p0)
+        return _struct(nll=_series_nll(e, p0), total=total, info=info)
 
-    per_series = F.zip_with("e", "_p0s", nll)
-    rows = table.select(*group, F.posexplode(per_series).alias("k", "nll"))
-    return rows.groupBy(*group, "k").agg(F.sum("nll").alias("nll"))
+    over = _mean_key(series.select(*key), demean)
+    if not set(group) <= set(over):
+        raise ValueError(f"series of several fit groups can't share a mean: {over} within {list(group)}")
+    rows = table.select(*over, F.posexplode(F.zip_with("e", "_p0s", parts)).alias("k", "one"))
+    rows = rows.select(*over, "k", "one.*")
+    if len(over) < len(key):
+        rows = rows.groupBy(*over, "k").agg(*(F.sum(c).alias(c) for c in ("nll", "total", "info")))
+    best = F.col("nll") - F.coalesce(F.try_divide(F.col("total") * F.col("total"), 2.0 * F.col("info")), F.lit(0.0))
+    return rows.groupBy(*group, "k").agg(F.sum(best).alias("nll"))
 
 
-def _candidates(points: Sequence[tuple[Column, Column]]) -> Column:
-    out = []
-    for log_pe, logit_rho in points:
-        pe, rho, q = _natural(log_pe, logit_rho)
-        out.append(_struct(p0=pe * pe, rho=rho, q=q))
-    return F.array(*out)
+def _candidates(points: Sequence[tuple[float, float]]) -> Column:
+    at = ", ".join(f"struct({float(a)!r}D AS a, {float(b)!r}D AS b)" for a, b in points)
+
+    def natural(x):
+        pe, rho, q = _natural(x["a"], x["b"])
+        return _struct(p0=pe * pe, rho=rho, q=q)
+
+    return F.transform(F.expr(f"array({at})"), natural)
 
 
 # Log standard deviations and logits of the coefficient that a fit starts from.
 GRID = tuple((float(a), float(b)) for a in (-3, -2, -1, 0, 1, 2, 3, 4) for b in (0, 1, 2, 4, 6, 8))
 
 
-def _grid_fit(series: DataFrame, group: Sequence[str], points, spec: PanelSpec) -> DataFrame:
-    cands = _candidates([(F.lit(float(a)), F.lit(float(b))) for a, b in points])
-    table = _objective(series.withColumn("_cands", cands), group, _series_key(series), spec)
+def _grid_fit(series: DataFrame, group: Sequence[str], points, spec: PanelSpec, demean: Demean) -> DataFrame:
+    cands = _candidates(points)
+    table = _objective(series.withColumn("_cands", cands), group, _series_key(series), spec, demean)
     best = table.groupBy(*group).agg(F.min(F.struct("nll", "k")).alias("_best"))
-    where = F.array(*(_struct(log_pe=float(a), logit_rho=float(b)) for a, b in points))
-    at = where[F.col("_best.k")]
+    where = ", ".join(f"struct({float(a)!r}D AS log_pe, {float(b)!r}D AS logit_rho)" for a, b in points)
+    at = F.expr(f"array({where})[_best.k]")
     return best.select(
         *group, at["log_pe"].alias("log_pe"), at["logit_rho"].alias("logit_rho"), F.col("_best.nll").alias("nll")
     )
 
 
-STENCIL = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 STATE = ("x", "y", "f", "gx", "gy", "hxx", "hxy", "hyy", "damp", "try_x", "try_y", "done")
+DERIVATIVES = ("f", "gx", "gy", "hxx", "hxy", "hyy")
+LEAST_CURVATURE = "(hxx + hyy) / 2D - sqrt((hxx - hyy) / 2D * ((hxx - hyy) / 2D) + hxy * hxy)"
+ROUNDS = 3  # rounds of the fit between two stored states
 
 
-def _newton_step(table: DataFrame, group: Sequence[str], h: float) -> DataFrame:
+def _slopes_at(
+    series: DataFrame, state: DataFrame, group: Sequence[str], spec: PanelSpec, demean: Demean
+) -> DataFrame:
+    """Objective, gradient and curvature of each group at the point it tries: ``(group, _st, f, gx, ...)``.
+
+    The group's state travels with its series as ``_st``.
+    """
+    mean, key = demean is not False, _series_key(series)
+    over = _mean_key(series.select(*key), demean) if mean else key
+    if not set(group) <= set(over):
+        raise ValueError(f"series of several fit groups can't share a mean: {over} within {list(group)}")
+    alone = mean and len(over) == len(key)
+    spread = [c for c in (*key, BLOCK) if c not in group]
+    rows = join_on_group(series, state.select(*group, F.struct(*STATE).alias("_st")), group, spread)
+    if spec.one_block:
+        rows = rows.select(*key, "_st", "obs")
+        table = fold_batches(rows, "obs", "e", mean=mean, parts=False, whole=True, best=alone)
+    else:
+        rows = rows.select(*key, BLOCK, _group_of_block().alias(GROUP), "_st", "obs")
+        table = fold_batches(rows, "obs", "e", mean=mean, parts=False, whole=False, best=False)
+        for keys, id_, last in (([*key, GROUP], BLOCK, False), (key, GROUP, True)):
+            one = F.struct(F.col(id_).alias("id"), "e")
+            table = table.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("_parts"), F.first("_st").alias("_st"))
+            table = fold_batches(table, "_parts", "e", mean=mean, parts=True, whole=last, best=last and alone)
+
+    def summed(table: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+        sums = (F.expr(f"sum(e[{i}]) AS _e{i}") for i in range(n))
+        return table.groupBy(*by).agg(F.first("_st").alias("_st"), *sums)
+
+    k = len(DERIVATIVES)
+    if mean and not alone:
+        shared = summed(table, over, 3 * k)
+        shared = shared.select(*over, "_st", F.array(*(f"_e{i}" for i in range(3 * k))).alias("e"))
+        table = best_mean_batches(shared, "e")
+    return summed(table, group, k).withColumnsRenamed({f"_e{i}": n for i, n in enumerate(DERIVATIVES)})
+
+
+def _newton_step(table: DataFrame, group: Sequence[str]) -> DataFrame:
     """Judge the tried point, keep the better one and propose the next.
 
-    ``table`` has the state columns and ``_f``, the objective on the stencil.
+    ``table`` is what :func:`_slopes_at` gives; groups that are done keep their state. The
+    steps are SQL texts, each parsed at once, as every operator on columns is a call of its own.
     """
-    at = {ij: F.col("_f")[k]["nll"] for k, ij in enumerate(STENCIL)}
-    f0 = at[0, 0]
-    fresh = {
-        "x": F.col("try_x"),
-        "y": F.col("try_y"),
-        "f": f0,
-        "gx": (at[1, 0] - at[-1, 0]) / (2 * h),
-        "gy": (at[0, 1] - at[0, -1]) / (2 * h),
-        "hxx": (at[1, 0] - 2.0 * f0 + at[-1, 0]) / (h * h),
-        "hyy": (at[0, 1] - 2.0 * f0 + at[0, -1]) / (h * h),
-        "hxy": (at[1, 1] - at[1, -1] - at[-1, 1] + at[-1, -1]) / (4 * h * h),
-    }
-    better = F.col("f").isNull() | (f0 < F.col("f"))
-    table = table.withColumn("_better", better)
-    table = table.select(
-        *group,
-        *(F.when(F.col("_better"), v).otherwise(F.col(n)).alias(n) for n, v in fresh.items()),
-        F.when(F.col("_better"), F.col("damp") * 0.1).otherwise(F.col("damp") * 10.0).alias("damp"),
+    held = [f"`{c}`" for c in group]
+    finite = "coalesce(NOT isnan(f - f), false)"
+    table = table.selectExpr(*held, "_st", *DERIVATIVES, f"{finite} AND (_st.f IS NULL OR f < _st.f) AS _better")
+    fresh = {"x": "_st.try_x", "y": "_st.try_y", **{n: n for n in DERIVATIVES}}
+    table = table.selectExpr(
+        *held,
+        "_st",
+        *(f"if(_better, {v}, _st.{n}) AS {n}" for n, v in fresh.items()),
+        "if(_better, _st.damp * 0.1D, _st.damp * 10D) AS damp",
     )
-    half = (F.col("hxx") - F.col("hyy")) / 2.0
-    least = (F.col("hxx") + F.col("hyy")) / 2.0 - F.sqrt(half * half + F.col("hxy") * F.col("hxy"))
     # Where the surface is not convex, lift its least curvature above zero.
-    lift = F.col("damp") + F.when(least < 1e-6, 1e-2 - least).otherwise(0.0)
-    table = table.withColumns({"_a": F.col("hxx") + lift, "_b": F.col("hyy") + lift})
-    det = F.col("_a") * F.col("_b") - F.col("hxy") * F.col("hxy")
-    dx = F.try_divide(F.col("hxy") * F.col("gy") - F.col("_b") * F.col("gx"), det)
-    dy = F.try_divide(F.col("hxy") * F.col("gx") - F.col("_a") * F.col("gy"), det)
-    bound = lambda d: F.greatest(F.least(F.coalesce(d, F.lit(0.0)), F.lit(2.0)), F.lit(-2.0))
-    # Done when neither the point nor, on a ridge towards rho = 1, the objective moves.
-    gain = -0.5 * (F.col("gx") * F.col("_dx") + F.col("gy") * F.col("_dy"))
-    small = (F.greatest(F.abs("_dx"), F.abs("_dy")) < 1e-5) | (gain < 1e-9 * (1.0 + F.abs("f")))
-    # Every step that is no better damps tenfold, so that a search without hope ends too.
-    small = small | (F.col("damp") > 1e12)
-    table = table.withColumns({"_dx": bound(dx), "_dy": bound(dy)})
-    return table.withColumns(
-        {"try_x": F.col("x") + F.col("_dx"), "try_y": F.col("y") + F.col("_dy"), "done": small}
-    ).select(*group, *STATE)
+    table = table.selectExpr("*", f"{LEAST_CURVATURE} AS _least")
+    table = table.selectExpr("*", "damp + if(_least < 1e-6D, 1e-2D - _least, 0D) AS _lift")
+    table = table.selectExpr("*", "hxx + _lift AS _a", "hyy + _lift AS _b")
+    bounded = lambda d: f"greatest(least(coalesce(try_divide({d}, _a * _b - hxy * hxy), 0D), 2D), -2D)"
+    table = table.selectExpr("*", f"{bounded('hxy * gy - _b * gx')} AS _dx", f"{bounded('hxy * gx - _a * gy')} AS _dy")
+    # Done when neither the point nor, on a ridge towards rho = 1, the objective moves. Every
+    # step that is no better damps tenfold, so that a search without hope ends too.
+    small = "greatest(abs(_dx), abs(_dy)) < 1e-5D OR -0.5D * (gx * _dx + gy * _dy) < 1e-9D * (1D + abs(f))"
+    tried = {"try_x": "x + _dx", "try_y": "y + _dy", "done": f"coalesce({small}, false) OR damp > 1e12D"}
+    kept = (f"if(_st.done, _st.{n}, {tried.get(n, n)}) AS {n}" for n in STATE)
+    return table.selectExpr(*held, *kept)
 
 
 def _ml_fit(
-    series: DataFrame, group: Sequence[str], points, rounds: int | None, spec: PanelSpec, h: float = 1e-3
+    series: DataFrame, group: Sequence[str], points, rounds: int | None, spec: PanelSpec, demean: Demean
 ) -> DataFrame:
     """Newton's method for all groups at once; each round is one pass over the series.
 
-    The series of a group are evaluated where they are and only sums per group come
-    together, so a group may be of any size. Groups that are done drop out; it goes on
-    until all are. Each accepted step lowers the objective and each refused one is damped
-    ten times more, so every group ends. Groups without an observation take no part.
+    A pass gives the objective with its exact gradient and curvature. The series of a group
+    are evaluated where they are and only sums per group come together, so a group may be of
+    any size. States are stored every ``ROUNDS`` rounds; groups that are done then drop out,
+    and it goes on until all are. Each accepted step lowers the objective and each refused
+    one is damped ten times more, so every group ends. Groups without an observation take no
+    part.
     """
-    key = _series_key(series)
     seen = F.size(F.filter("obs", lambda x: x["y"].isNotNull()))
     known = series.groupBy(*group).agg(F.sum(seen).alias("_seen"))
-    first = _grid_fit(series, group, points, spec).join(known, list(group))
+    first = _grid_fit(series, group, points, spec, demean).join(known, list(group))
     blank = {n: F.lit(None).cast("double") for n in ("x", "y", "f", "gx", "gy", "hxx", "hxy", "hyy")}
     state = first.select(
         *group,
@@ -428,23 +592,22 @@ def _ml_fit(
         F.col("logit_rho").alias("try_y"),
         (F.col("_seen") == 0).alias("done"),
     )
-    state = materialize(state)
-    spread = [c for c in (*key, BLOCK) if c not in group]
-    for _ in itertools.count() if rounds is None else range(rounds):
+    state, finished, left = materialize(state), [], rounds
+    while left is None or left > 0:
+        finished.append(state.where("done"))
         active = state.where(~F.col("done"))
-        cands = _candidates([(F.col("try_x") + i * h, F.col("try_y") + j * h) for i, j in STENCIL])
-        points_here = active.select(*group, cands.alias("_cands"))
-        values = _objective(join_on_group(series, points_here, group, spread), group, key, spec)
-        values = values.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("k", "nll"))).alias("_f"))
-        moved = _newton_step(active.join(values, list(group)), group, h)
-        state = materialize(moved.unionByName(state.where("done")))
-        if state.where(~F.col("done")).isEmpty():
+        if active.isEmpty():
+            state = active
             break
+        for _ in range(ROUNDS if left is None else min(left, ROUNDS)):
+            active = _newton_step(_slopes_at(series, active, group, spec, demean), group)
+        state, left = materialize(active), None if left is None else left - ROUNDS
+    for part in finished:
+        state = state.unionByName(part)
     det = F.col("hxx") * F.col("hyy") - F.col("hxy") * F.col("hxy")
-    half = (F.col("hxx") - F.col("hyy")) / 2.0
-    least = (F.col("hxx") + F.col("hyy")) / 2.0 - F.sqrt(half * half + F.col("hxy") * F.col("hxy"))
-    # Second differences carry the rounding error of the objective, divided by h squared.
-    proper = least > F.lit(1e-13 / (h * h)) * (1.0 + F.abs("f"))
+    least = F.expr(LEAST_CURVATURE)
+    # On a ridge the least curvature is what rounding leaves of the other.
+    proper = least > 1e-9 * (F.abs("hxx") + F.abs("hyy"))
     cov = {"cov_pe": F.col("hyy"), "cov_rho": F.col("hxx"), "cov_both": -F.col("hxy")}
     fitted = F.col("done") & F.col("f").isNotNull()
     out = state.select(
@@ -464,6 +627,7 @@ def ar1_fit(
     method: str = "mle",
     points: Sequence[tuple[float, float]] = GRID,
     rounds: int | None = None,
+    demean: Demean = False,
 ) -> DataFrame:
     """Parameters per fit group and measure, shared by the series of the group.
 
@@ -471,20 +635,23 @@ def ar1_fit(
     pairs ``(log_pe, logit_rho)``; ``"mle"`` goes on from there to the maximum of the
     likelihood and adds the parameters' covariance (NULL on a flat ridge) and
     ``converged``. Groups without an observation, and those that a given number of
-    ``rounds`` leaves unfinished, get NULL parameters, which prediction refuses.
+    ``rounds`` leaves unfinished, get NULL parameters, which prediction refuses. ``demean``
+    as in :func:`ar1_filter`; each point is then judged at its own best mean.
     """
     by = [*(spec.keys if group is None else group), MEASURE]
     if method == "grid":
-        return _grid_fit(series, by, points, spec)
+        return _grid_fit(series, by, points, spec, demean)
     if method == "mle":
-        return _ml_fit(series, by, points, rounds, spec)
+        return _ml_fit(series, by, points, rounds, spec, demean)
     raise ValueError(f"method must be 'grid' or 'mle', not {method!r}")
 
 
 # --- smoother -------------------------------------------------------------------------
 
 
-def _smoothed(edges: Sequence[Column], rho: Column, q: Column, time_type: str) -> Column:
+def _smoothed(
+    edges: Sequence[Column], rho: Column, q: Column, time_type: str, obs: Column | None = None
+) -> Column:
     """Smoothed states of the rows of a block, an array of ``struct<t, mean, var>``, last row first per chunk."""
     kept = f"t:{time_type},y:double,r:double,m:double,p:double"
 
@@ -516,21 +683,29 @@ def _smoothed(edges: Sequence[Column], rho: Column, q: Column, time_type: str) -
         )
         return smoothed
 
-    return _in_chunks(work, edges, rho, q)
+    return _in_chunks(work, edges, rho, q, obs)
 
 
 def ar1_predict(
-    series: DataFrame, params: Params, spec: PanelSpec = PANEL, *, p: float = 0.975, total_se: bool = False
+    series: DataFrame,
+    params: Params,
+    spec: PanelSpec = PANEL,
+    *,
+    p: float = 0.975,
+    total_se: bool = False,
+    demean: Demean = False,
 ) -> DataFrame:
     """Smoothed prediction of every row: ``pred, se, lci, uci`` and ``log_pred, log_se``.
 
     ``total_se`` adds the uncertainty of the parameters, from the covariance columns
-    of :func:`ar1_fit`; where those are NULL the standard error is conditional.
+    of :func:`ar1_fit`; where those are NULL the standard error is conditional. With ``demean``,
+    as in :func:`ar1_filter`, predictions return to the mean instead of zero, and the standard
+    error contains that of the mean; it is NULL for series without an observed mean.
     """
     key = _series_key(series)
     time_type = spec_time_type(series)
-    if total_se:
-        out = _smooth_with_slopes(series, params, key, time_type, spec)
+    if total_se or demean is not False:
+        out = _smooth_with_slopes(series, params, key, time_type, spec, total_se, demean)
     else:
         rows = _with_edges(_with_params(series, params), key, spec)
         states = _smoothed([F.col(c) for c in EDGES], F.col("_rho"), F.col("_q"), time_type)
@@ -552,16 +727,38 @@ def ar1_predict(
     )
 
 
-def _smooth_with_slopes(series, params: DataFrame, key, time_type: str, spec, h: float = 1e-3) -> DataFrame:
-    """Smooth at the parameters and on both sides of each, and propagate the covariance.
+def _smooth_with_slopes(
+    series: DataFrame, params: Params, key, time_type: str, spec, total_se: bool, demean: Demean, h: float = 1e-3
+) -> DataFrame:
+    """Smooth at the parameters and beside them, and propagate the uncertainty of parameters and mean.
 
-    The five points lie in one row beside the series, which is joined to its parameters once.
+    ``total_se`` adds a point on both sides of each parameter. ``demean`` adds one where every
+    value is one: how far the smoothed state follows the mean that is taken off. All points lie
+    in one row beside the series, which is joined to its parameters once. The mean and the other
+    parameters are independent for large samples, so their shares add up.
     """
     rows = _with_params(series, params)
+    if demean is not False:
+        rows = _without_mean(rows, demean, spec)
+    shifts = [(0, 0)] + ([(1, 0), (-1, 0), (0, 1), (0, -1)] if total_se else [])
     points = []
-    for at, (i, j) in enumerate([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]):
-        pe, rho, q = _natural(F.col("log_pe") + i * h, F.col("logit_rho") + j * h)
-        points.append(_struct(_at=at, _p0=pe * pe, _rho=rho, _q=q))
+    for at, (i, j) in enumerate(shifts):
+        if total_se:
+            pe, rho, q = _natural(F.col("log_pe") + i * h, F.col("logit_rho") + j * h)
+            p0 = pe * pe
+        else:
+            p0, rho, q = F.col("_p0"), F.col("_rho"), F.col("_q")
+        points.append(_struct(_at=at, _p0=p0, _rho=rho, _q=q, _ones=False))
+    if demean is not False:
+        points.append(_struct(_at=len(points), _p0=F.col("_p0"), _rho=F.col("_rho"), _q=F.col("_q"), _ones=True))
+
+    def seen(ones: Column) -> Column:
+        """The values, or one for each of them."""
+        if demean is False:
+            return F.col("obs")
+        one = lambda x: _struct(t=x["t"], y=F.when(x["y"].isNotNull(), 1.0), r=x["r"])
+        return F.when(ones, F.transform("obs", one)).otherwise(F.col("obs"))
+
     rows = rows.withColumn("_points", F.array(*points))
     if spec.one_block:
         zero = F.lit(0.0)
@@ -569,7 +766,7 @@ def _smooth_with_slopes(series, params: DataFrame, key, time_type: str, spec, h:
         rows = rows.withColumn("_states", F.transform("_points", edge))
     else:
         # Only folds, no rows of the series, are told apart by point and shuffled.
-        each = rows.select(*key, BLOCK, "obs", F.inline("_points"))
+        each = rows.select(*key, BLOCK, "obs", F.inline("_points")).withColumn("obs", seen(F.col("_ones")))
         states = _edges(each, [*key, "_at"]).groupBy(*key, BLOCK)
         states = states.agg(F.sort_array(F.collect_list(F.struct("_at", *EDGES))).alias("_states"))
         rows = rows.join(states, [*key, BLOCK])
@@ -577,17 +774,33 @@ def _smooth_with_slopes(series, params: DataFrame, key, time_type: str, spec, h:
     def sides(a, k):
         return lambda i: (a[k][i]["mean"] - a[k + 1][i]["mean"]) / (2 * h)
 
-    def slopes(a):
-        pe, rho = sides(a, 1), sides(a, 3)
-        return F.transform(a[0], lambda x, i: _struct(t=x["t"], mean=x["mean"], _var=x["var"], _sx=pe(i), _sy=rho(i)))
+    def spread(a):
+        """The rows of the first point with what the others tell about them."""
+
+        def one(x, i):
+            more = {"_sx": sides(a, 1)(i), "_sy": sides(a, 3)(i)} if total_se else {}
+            more |= {"_follows": a[len(points) - 1][i]["mean"]} if demean is not False else {}
+            return _struct(t=x["t"], mean=x["mean"], _var=x["var"], **more)
+
+        return F.transform(a[0], one)
 
     smooth = F.zip_with(
-        "_points", "_states", lambda c, s: _smoothed([s[n] for n in EDGES], c["_rho"], c["_q"], time_type)
+        "_points",
+        "_states",
+        lambda c, s: _smoothed([s[n] for n in EDGES], c["_rho"], c["_q"], time_type, seen(c["_ones"])),
     )
-    out = rows.select(*key, "cov_pe", "cov_rho", "cov_both", F.inline(_let(smooth, slopes)))
-    sx, sy = F.col("_sx"), F.col("_sy")
-    more = sx * sx * F.col("cov_pe") + 2.0 * sx * sy * F.col("cov_both") + sy * sy * F.col("cov_rho")
-    return out.withColumn("var", F.col("_var") + F.coalesce(more, F.lit(0.0)))
+    held = [*(["cov_pe", "cov_rho", "cov_both"] if total_se else []), *(["_mean", "_info"] if demean is not False else [])]
+    out = rows.select(*key, *held, F.inline(_let(smooth, spread)))
+    var = F.col("_var")
+    if total_se:
+        sx, sy = F.col("_sx"), F.col("_sy")
+        more = sx * sx * F.col("cov_pe") + 2.0 * sx * sy * F.col("cov_both") + sy * sy * F.col("cov_rho")
+        var = var + F.coalesce(more, F.lit(0.0))
+    if demean is not False:
+        left = 1.0 - F.col("_follows")
+        out = out.withColumn("mean", F.col("mean") + F.col("_mean"))
+        var = var + left * left / F.col("_info")
+    return out.withColumn("var", var)
 
 
 # --- panel-level operators ------------------------------------------------------------
@@ -634,6 +847,7 @@ def fill_ar1(
     method: str = "mle",
     points: Sequence[tuple[float, float]] = GRID,
     label: str = "ar1",
+    demean: Demean = False,
 ) -> DataFrame:
     """Fill gaps of the target areas by the smoothed prediction.
 
@@ -643,8 +857,8 @@ def fill_ar1(
     series = ar1_series(df, spec, areas=targets)
     if params is None:
         series = materialize(series)
-        params = ar1_fit(series, spec, method=method, points=points)
-    pred = ar1_predict(series, params, spec)
+        params = ar1_fit(series, spec, method=method, points=points, demean=demean)
+    pred = ar1_predict(series, params, spec, demean=demean)
     of = lambda m: F.when(F.col(MEASURE) == m, F.col("pred")).alias(f"_{m}")
     pred = pred.select(*spec.cell, *(of(m) for m in spec.measures))
     is_target = F.col(spec.area).isin(*targets)

@@ -11,6 +11,7 @@ from gapweave.functions import ci, cv, genlogit, geninvlogit, log_positive, log_
 from gapweave.operators.ar1 import (
     ar1_filter,
     ar1_fit,
+    ar1_mean,
     ar1_predict,
     ar1_series,
     fill_ar1,
@@ -456,6 +457,59 @@ def q_ar1_estimate(spark, folder):
     return out.select("species", "measure", F.round("nll", 3).alias("nll"), "converged")
 
 
+def q_ar1_mean(spark, folder):
+    """Means of the series by generalised least squares, and those that the areas share."""
+    series, spec = _series(spark, folder)
+    own = ar1_mean(series, FIXED, spec)
+    shared = ar1_mean(series, FIXED, spec, demean=["species"]).withColumn("strata", F.lit("all"))
+    return _rounded(own.unionByName(shared))
+
+
+def q_ar1_filter_demeaned(spark, folder):
+    series, spec = _series(spark, folder)
+    return _rounded(ar1_filter(series, FIXED, spec, demean=True))
+
+
+def q_ar1_predict_demeaned(spark, folder):
+    series, spec = _series(spark, folder)
+    return _rounded(ar1_predict(series, FIXED, spec, demean=True))
+
+
+def q_ar1_predict_demeaned_daily(spark, folder):
+    """Series of several blocks whose areas share a mean."""
+    p, spec = _stored(daily_panel(spark, folder))
+    series = ar1_series(p, spec, areas=TARGETS)
+    out = ar1_predict(series, FIXED_DAILY, spec, demean=["species"])
+    return _rounded(out.select("species", "measure", "strata", "year", "log_pred", "log_se"))
+
+
+def q_ar1_grid_fit_demeaned(spark, folder):
+    """The best starting point when each is judged at its own best means."""
+    series, spec = _series(spark, folder)
+    return _rounded(ar1_fit(series, spec, method="grid", demean=True))
+
+
+def q_ar1_fill_demeaned(spark, folder):
+    p, spec = _suppliers(spark, folder)
+    out = fill_ar1(p, spec, targets=TARGETS, params=FIXED, start=START, demean=True)
+    return _rounded(out)
+
+
+def q_ar1_fill_mle(spark, folder):
+    """The fill as it is by default: maximum likelihood, then the smoother."""
+    p, spec = _suppliers(spark, folder)
+    return _rounded(fill_ar1(p, spec, targets=TARGETS, start=START))
+
+
+def q_compare_methods_mle(spark, folder):
+    """The whole comparison with the parameters of highest likelihood."""
+    p, spec = _suppliers(spark, folder)
+    out = compare_methods(
+        p, spec, targets=TARGETS, neighbour=NEIGHBOUR, schedule=SCHEDULE, start=START, areas=AREAS
+    )
+    return _rounded(out.scores)
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Total index per market segment and year after filling by the ratio method."""
     p, spec = _stored(segment_panel(spark, folder))

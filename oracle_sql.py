@@ -322,6 +322,42 @@ AR1 = f"""ar1 as (
   where strata not in {TARGETS} and year >= 1996)"""
 
 
+# --- AR(1) model with an unknown mean ---------------------------------------------------
+
+
+def demeaned(params: str, over: str = "species, measure, strata") -> list[str]:
+    """Generalised least squares mean per ``over``, and the filter of what is left of the values.
+
+    The same filter runs over the values (f), over ones (f1) and over the values less the mean (f2).
+    """
+    names = "params|f|obs"
+    return [
+        observations(),
+        filtered(params),
+        "obs1 as (select * replace (case when y is not null then 1.0::double end as y) from obs)",
+        suffixed(filtered(params), names, "1"),
+        f"""means as (
+  select {over}, sum((o.y - f.m_pred) * (1 - g.m_pred) / (f.p_pred + o.r)) / sum((1 - g.m_pred) * (1 - g.m_pred) / (f.p_pred + o.r)) as mean,
+    sum((1 - g.m_pred) * (1 - g.m_pred) / (f.p_pred + o.r)) as info
+  from obs o join f using (species, measure, strata, year) join f1 g using (species, measure, strata, year)
+  where o.y is not null group by all)""",
+        f"obs2 as (select o.* replace (o.y - mean as y) from obs o left join means using ({over}))",
+        suffixed(filtered(params), names, "2"),
+    ]
+
+
+def demeaned_prediction(over: str = "species, measure, strata") -> list[str]:
+    names = "last_pos|f|s"
+    return [
+        suffixed(SMOOTHED, names, "1"),
+        suffixed(SMOOTHED, names, "2"),
+        f"""around as (
+  select a.species, a.measure, a.strata, a.year, a.ms + mean as ms, a.ps + (1 - b.ms) * (1 - b.ms) / info as ps
+  from s2 a join s1 b using (species, measure, strata, year) left join means using ({over}))""",
+        PREDICTED.replace("from s)", "from around)"),
+    ]
+
+
 # --- stacks and scores ----------------------------------------------------------------
 
 
@@ -696,6 +732,71 @@ ORACLE: dict[str, str] = {
         final=f"""select species, measure, round(case when converged then nll end, 3) as nll, converged
           from seen join best{len(ZOOM)} using (species, measure)""",
     ),
+    "ar1_mean": chain(
+        PANEL,
+        GRID,
+        *demeaned(fixed(1.0, 3.0)),
+        "every_series as (select distinct species, measure, strata from obs)",
+        """shared as (
+          select species, measure, sum(mean * info) / sum(info) as mean, sum(info) as info from means group by all)""",
+        final="""select species, measure, strata, round(mean, 6) as mean, round(1 / sqrt(info), 6) as mean_se
+          from every_series left join means using (species, measure, strata)
+          union all
+          select species, measure, 'all', round(mean, 6), round(1 / sqrt(info), 6)
+          from (select distinct species, measure from every_series) left join shared using (species, measure)""",
+    ),
+    "ar1_filter_demeaned": chain(
+        PANEL,
+        GRID,
+        *demeaned(fixed(1.0, 3.0)),
+        "around as (select f2.* replace (m_pred + mean as m_pred, m + mean as m) from f2 left join means using (species, measure, strata))",
+        final=keep("species measure strata year", "m_pred p_pred m p nll", "around"),
+    ),
+    "ar1_predict_demeaned": chain(
+        PANEL,
+        GRID,
+        *demeaned(fixed(1.0, 3.0)),
+        *demeaned_prediction(),
+        final=keep("species measure strata year", PRED, "pred"),
+    ),
+    "ar1_predict_demeaned_daily": chain(
+        DAYS,
+        GRID,
+        *demeaned(FIXED_DAILY, "species, measure"),
+        *demeaned_prediction("species, measure"),
+        final=keep("species measure strata year", "log_pred log_se", "pred"),
+    ),
+    "ar1_grid_fit_demeaned": chain(
+        PANEL,
+        GRID,
+        observations(),
+        filtered(f"select row_number() over (order by a, b) - 1 as k, a, b, {natural('a', 'b')} from {POINTS}"),
+        "obs1 as (select * replace (case when y is not null then 1.0::double end as y) from obs)",
+        suffixed(
+            filtered(f"select row_number() over (order by a, b) - 1 as k, a, b, {natural('a', 'b')} from {POINTS}"),
+            "params|f|obs",
+            "1",
+        ),
+        """parts as (
+          select species, measure, strata, f.k, sum(f.nll) as nll,
+            sum(case when o.y is not null then (o.y - f.m_pred) * (1 - g.m_pred) / (f.p_pred + o.r) end) as total,
+            sum(case when o.y is not null then (1 - g.m_pred) * (1 - g.m_pred) / (f.p_pred + o.r) end) as info
+          from obs o join f using (species, measure, strata, year) join f1 g using (species, measure, strata, year)
+          where f.k = g.k group by all)""",
+        """objective as (
+          select species, measure, k, sum(nll - coalesce(total * total / (2 * info), 0)) as nll from parts group by all)""",
+        "best as (select *, row_number() over (partition by species, measure order by nll, k) as rank from objective)",
+        final="""select species, measure, round(a, 6) as log_pe, round(b, 6) as logit_rho,
+          round(nll, 6) as nll from best join params using (k) where rank = 1""",
+    ),
+    "ar1_fill_demeaned": chain(
+        PANEL,
+        GRID,
+        *demeaned(fixed(1.0, 3.0)),
+        *demeaned_prediction(),
+        AR1,
+        final=keep(CELL + " method", VALUES, "ar1"),
+    ),
     "ar1_fill_estimated": chain(
         PANEL,
         GRID,
