@@ -21,8 +21,10 @@ verification see whole texts. Texts are compared in lower case and without punct
 
 Defined results: texts without words, null or empty, are copies of each other; texts under
 five words are equal only to texts of the same words; a row without ``doc_id`` can't be
-named in a class and gets none; repeated rows are copies, and rows of one id are taken for
-one document; an empty table gives an empty result.
+named in a class and gets none; repeated rows are copies; different texts under one id are
+documents of their own, each row in the class of its text, and a class takes the smallest id
+of its rows; an empty table gives an empty result. ``first_of_classes`` keeps one row of each
+class, that of the smallest id and, among rows of that id, of the smallest hash of the row.
 """
 
 from __future__ import annotations
@@ -150,13 +152,14 @@ def _sketches(idf: np.ndarray):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, n),
+                        batch.column(2).slice(first, n),
                         pa.array(keys[0]),
                         pa.array(keys[1]),
                         pa.array(total),
                         lists(bands, BANDS, pa.int64()),
                         lists((sig >> U(33)).astype(np.int32), BANDS * ROWS, pa.int32()),
                     ],
-                    names=["doc_id", "key_a", "key_b", "weight", "bands", "sig"],
+                    names=["doc_id", "mark", "key_a", "key_b", "weight", "bands", "sig"],
                 )
 
     return run
@@ -308,24 +311,38 @@ def _links(idf: np.ndarray, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, class_id)`` per row of ``docs``; ``class_id`` is the smallest id of the class."""
-    nameless = docs.where("doc_id is null").select(*(F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id")))
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``(doc_id, mark, class, class_id)`` per row of ``docs (doc_id, text, mark)``, whose ids are known.
+
+    ``mark`` tells apart the rows of one id. A node is a set of rows with the same words; it has
+    a number of its own, as one id may belong to several.
+    """
     idf = idf_of(slot_frequencies(docs))
     sketch = materialize(
         docs.mapInArrow(
             _sketches(idf),
-            "doc_id long, key_a long, key_b long, weight double, bands array<long>, sig array<int>",
+            "doc_id long, mark long, key_a long, key_b long, weight double, bands array<long>, sig array<int>",
+        )
+    )
+    lead = sketch.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "mark")).alias("lead"))
+    # numbers are given as the table is written, so every reading of it sees the same
+    first = materialize(
+        lead.select(
+            "key_a",
+            "key_b",
+            F.monotonically_increasing_id().alias("node"),
+            F.col("lead.doc_id").alias("first"),
+            F.col("lead.mark").alias("first_mark"),
         )
     )
-    first = materialize(sketch.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("first")))
-    known = sketch.select("doc_id", "key_a", "key_b").join(first, ["key_a", "key_b"]).select("doc_id", "first")
+    known = sketch.select("doc_id", "mark", "key_a", "key_b").join(first, ["key_a", "key_b"])
+    known = known.select("doc_id", "mark", "node", "first")
+    # from here to the end ``doc_id`` is the number of a node
     sole = materialize(
         sketch.where(F.size("bands") > 0)
         .join(first, ["key_a", "key_b"])
-        .where("doc_id = first")
-        .select("doc_id", "weight", "bands", "sig")
+        .where("doc_id = first AND mark = first_mark")
+        .select(F.col("node").alias("doc_id"), "weight", "bands", "sig")
         .dropDuplicates(["doc_id"])
     )
     spots = sole.select("doc_id", F.explode("bands").alias("band"))
@@ -336,8 +353,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     members = materialize(spots.select("doc_id").distinct())
     seen = sole.select("doc_id", "weight", "sig").join(members, "doc_id")
     seen = materialize(seen)
+    named = first.select(F.col("node").alias("member"), F.col("first").alias("doc_id"), F.col("first_mark").alias("mark"))
+    named = named.join(members.select(F.col("doc_id").alias("member")), "member")
     vectors = materialize(
-        docs.join(members, "doc_id", "left_semi").mapInArrow(_vectors, "doc_id long, shingles binary, counts binary")
+        docs.join(named, ["doc_id", "mark"])
+        .select(F.col("member").alias("doc_id"), "text")
+        .mapInArrow(_vectors, "doc_id long, shingles binary, counts binary")
         .dropDuplicates(["doc_id"])
     )
 
@@ -378,8 +399,35 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     more = dealt(alike.join(vectors, "doc_id").select(*PLACE, "doc_id", "root", "shingles", "counts")).mapInArrow(
         _links(idf, threshold), "a long, b long"
     )
-    roots = components(links.union(more))
-    classes = known.join(roots, F.col("first") == F.col("id"), "left").select(
-        "doc_id", F.coalesce("root", "first").alias("class_id")
+    roots = materialize(components(links.union(more)))
+    ids = first.select(F.col("node").alias("id"), "first")
+    smallest = roots.join(ids, "id").groupBy("root").agg(F.min("first").alias("class_id"))
+    linked = roots.join(smallest, "root").select(F.col("id").alias("node"), "root", "class_id")
+    return known.join(linked, "node", "left").select(
+        "doc_id", "mark", F.coalesce("root", "node").alias("class"), F.coalesce("class_id", "first").alias("class_id")
+    )
+
+
+def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, class_id)`` per row of ``docs``; ``class_id`` is the smallest id of the class."""
+    nameless = docs.where("doc_id is null").select(*(F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id")))
+    rows = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")
+    )
+    return _classes(rows, threshold).select("doc_id", "class_id").unionByName(nameless)
+
+
+def first_of_classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` for each class of near-duplicates; rows without id are all kept."""
+    columns, key, mark = docs.columns, "_id", "_mark"
+    while key in columns or mark in columns:
+        key, mark = f"_{key}", f"_{mark}"
+    rows = docs.where("doc_id is not null").withColumns(
+        {key: F.col("doc_id").cast("long"), mark: F.xxhash64(*sorted(columns))}
     )
-    return classes.unionByName(nameless)
+    classes = _classes(rows.select(F.col(key).alias("doc_id"), "text", F.col(mark).alias("mark")), threshold)
+    kept = classes.groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("lead"))
+    kept = materialize(kept.select(F.col("lead.doc_id").alias(key), F.col("lead.mark").alias(mark)))
+    # rows of the same id and mark are equal, so it doesn't matter which of them stays
+    one = rows.join(kept, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*columns)
+    return one.unionByName(docs.where("doc_id is null"))

@@ -34,7 +34,8 @@ LEAST = 2
 RATIO = 10
 MISSPELL = 31
 GROUPS = 16
-BUCKET = 8192
+BUCKET = 1 << 15
+OWN = 0  # the budget of a word in its own bucket, which comes before those of queries
 FEW = 16  # leaves up to this size are verified as they are
 HELD = 1 << 18  # counted words a task holds before it hands them on
 
@@ -138,54 +139,77 @@ class Leaf:
         return [w for w in set(some) if one_apart(word, w[0])]
 
 
-def trie_of(words: list[tuple[str, int, str]], depth: int) -> dict | Leaf:
-    """Words ``(word, n, counts)`` by their counts from level ``depth`` on."""
-    if depth == GROUPS and words:
-        return Leaf([w[:2] for w in words])
-    root: dict = {}
+def trie_of(words: list[tuple[str, int, bytes]], depth: int) -> dict | tuple[bytes, Leaf]:
+    """Words ``(word, n, counts)`` by their counts from level ``depth`` on.
+
+    An inner node maps a count to the node below; where only one leaf remains, the node is that
+    leaf with its counts.
+    """
+    by_counts: dict[bytes, list[tuple[str, int]]] = {}
     for word, n, counts in words:
-        node = root
-        for c in counts[depth:-1]:
-            node = node.setdefault(ord(c), {})
-        node.setdefault(ord(counts[-1]), []).append((word, n))
+        by_counts.setdefault(counts, []).append((word, n))
 
-    def close(node: dict) -> dict:
-        return {k: close(v) if isinstance(v, dict) else Leaf(v) for k, v in node.items()}
+    def build(leaves: list[tuple[bytes, Leaf]], level: int) -> dict | tuple[bytes, Leaf]:
+        if len(leaves) == 1:
+            return leaves[0]
+        below: dict[int, list[tuple[bytes, Leaf]]] = {}
+        for leaf in leaves:
+            below.setdefault(leaf[0][level], []).append(leaf)
+        return {n: build(some, level + 1) for n, some in below.items()}
 
-    return close(root)
+    return build([(counts, Leaf(some)) for counts, some in by_counts.items()], depth)
 
 
-def search(root: dict, counts: str, depth: int, surplus: int, deficit: int) -> Iterator[Leaf]:
+def search(root: dict | tuple[bytes, Leaf], wanted: bytes, depth: int, surplus: int, deficit: int) -> list[Leaf]:
     """Leaves whose counts from ``depth`` on differ by the surplus and the deficit left, or less."""
-    wanted = [ord(c) for c in counts[depth:]]
-    stack = [(root, 0, surplus, deficit)]
+    found, stack = [], [(root, depth, surplus, deficit)]
     while stack:
         node, level, more, less = stack.pop()
-        if level == len(wanted):
-            yield node
+        if type(node) is tuple:
+            counts, leaf = node
+            if counts[level:] != wanted[level:]:
+                for i in range(level, GROUPS):
+                    by = counts[i] - wanted[i]
+                    if by == 0:
+                        continue
+                    if by == 1 and more:
+                        more = 0
+                    elif by == -1 and less:
+                        less = 0
+                    else:
+                        break
+                else:
+                    found.append(leaf)
+            else:
+                found.append(leaf)
             continue
         n = wanted[level]
-        if n in node:
-            stack.append((node[n], level + 1, more, less))
-        if more and n + 1 in node:
-            stack.append((node[n + 1], level + 1, 0, less))
-        if less and n - 1 in node:
-            stack.append((node[n - 1], level + 1, more, 0))
+        level += 1
+        below = node.get(n)
+        if below is not None:
+            stack.append((below, level, more, less))
+        if more and (below := node.get(n + 1)) is not None:
+            stack.append((below, level, 0, less))
+        if less and (below := node.get(n - 1)) is not None:
+            stack.append((below, level, more, 0))
+    return found
+
 
+def reached(own: str) -> list[tuple[str, int]]:
+    """Later buckets within the budget of a word in bucket ``own``, each with what is left of it.
 
-def reached(counts: str, depth: int) -> list[tuple[str, int, int]]:
-    """Later buckets within the budget: their first counts, and the surplus and deficit left."""
-    own, found = counts[:depth], []
+    The rest is 2 for the surplus and 1 for the deficit.
+    """
+    found, depth = [], len(own)
     steps = [(i, s) for i in range(depth) for s in (1, -1)]
     for i, s in steps:
-        changes = [((i, s),)] + [((i, s), (j, -s)) for j in range(i + 1, depth)]
-        for change in changes:
+        for change in [((i, s),), *(((i, s), (j, -s)) for j in range(i + 1, depth))]:
             key = list(own)
             for at, by in change:
                 key[at] = chr(ord(key[at]) + by)
             if min(key) >= "0" and "".join(key) > own:
-                plus = sum(by > 0 for _, by in change)
-                found.append(("".join(key), 1 - plus, 1 - (len(change) - plus)))
+                spent = sum(2 if by > 0 else 1 for _, by in change)
+                found.append(("".join(key), 3 - spent))
     return found
 
 
@@ -197,19 +221,26 @@ def near_pairs(words: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     depth = next((d for d in range(GROUPS) if largest.get(d, 0) <= bucket), GROUPS)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "role", "surplus", "deficit", "word", "n", "counts"]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+        known: dict[str, tuple[list[str], list[int]]] = {}
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            for first in range(0, len(rows), 1024):
-                out = []
-                for word, n, counts in rows[first : first + 1024]:
-                    out.append((counts[:depth], 0, 1, 1, word, n, counts))
-                    out += [(key, 1, more, less, word, n, counts) for key, more, less in reached(counts, depth)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            for first in range(0, batch.num_rows, 4096):
+                some = batch.slice(first, 4096)
+                keys, budgets, rows = [], [], []
+                for i, counts in enumerate(some.column(2).to_pylist()):
+                    own = counts[:depth]
+                    if own not in known:
+                        later = reached(own)
+                        known[own] = [own, *(k for k, _ in later)], [OWN, *(left for _, left in later)]
+                    of, left = known[own]
+                    keys += of
+                    budgets += left
+                    rows += [i] * len(of)
+                at = pa.array(rows, pa.int32())
+                columns = [pa.array(keys, pa.string()), pa.array(budgets, pa.int32()), *(c.take(at) for c in some.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "budget", "word", "n", "counts"])
 
     routed = words.select("word", "n", "counts").mapInArrow(
-        route, "key string, role int, surplus int, deficit int, word string, n long, counts string"
+        route, "key string, budget int, word string, n long, counts string"
     )
     # buckets that no depth makes small: their words are dealt to blocks, queries go to each
     many = sizes.where((F.col("depth") == depth) & (F.col("count") > bucket)).select(
@@ -217,20 +248,20 @@ def near_pairs(words: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     )
     if largest.get(depth, 0) > bucket:
         routed = routed.join(many, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
+        at = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
+        mine = F.col("budget") == OWN
         # a word is also a query in the later blocks of its own bucket
-        first = F.when(F.col("role") == 0, own).otherwise(0)
-        routed = routed.withColumn("own", own).withColumn(
-            "block", F.explode(F.sequence(first, F.col("blocks") - 1))
-        ).withColumn("role", F.when((F.col("role") == 0) & (F.col("block") == F.col("own")), 0).otherwise(1))
+        blocks = F.sequence(F.when(mine, F.col("at")).otherwise(0), F.col("blocks") - 1)
+        routed = routed.withColumn("at", at).withColumn("block", F.explode(blocks))
+        routed = routed.withColumn("budget", F.when(mine & (F.col("block") > F.col("at")), 3).otherwise(F.col("budget")))
     else:
         routed = routed.withColumn("block", F.lit(0))
-    placed = routed.select("key", "block", "role", "surplus", "deficit", "word", "n", "counts")
-    placed = placed.repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    placed = routed.select("key", "block", "budget", "counts", "word", "n")
+    placed = placed.repartition("key", "block").sortWithinPartitions("key", "block", "budget", "counts")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64()]
-        of, held, trie, out = None, [], None, []
+        out: list[tuple[str, int, str, int]] = []
 
         def done() -> pa.RecordBatch:
             found = pa.RecordBatch.from_arrays(
@@ -239,42 +270,53 @@ def near_pairs(words: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
             out.clear()
             return found
 
-        def look(word: str, n: int, counts: str, more: int, less: int, own: bool) -> None:
-            for leaf in search(trie, counts, depth, more, less):
-                out.extend((word, n, w, m) for w, m in leaf.near(word) if not own or word < w)
-
-        def close() -> Iterator[pa.RecordBatch]:
-            for word, n, counts in held:
-                look(word, n, counts, 1, 1, True)
-                if len(out) > 20000:
-                    yield done()
-
-        for batch in batches:
-            for key, block, role, more, less, word, n, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, block) != of:
-                    if held and trie is None:
-                        trie = trie_of(held, depth)
-                        yield from close()
-                    of, held, trie = (key, block), [], None
-                if role == 0:
-                    held.append((word, n, counts))
-                    continue
-                if trie is None:
-                    trie = trie_of(held, depth)
-                    yield from close()
-                if held:
-                    look(word, n, counts, more, less, False)
-                    if len(out) > 20000:
-                        yield done()
-        if held and trie is None:
-            trie = trie_of(held, depth)
-            yield from close()
+        of, held, trie, asked, leaves = None, [], None, None, []
+        for row in _rows(batches):
+            *bucket_of, budget, counts, word, n = row
+            if bucket_of != of:
+                if trie is None and held:
+                    yield from _own(held, depth, out, done)
+                of, held, trie, asked = bucket_of, [], None, None
+            if budget == OWN:
+                held.append((word, n, counts.encode()))
+                continue
+            if not held:
+                continue
+            if trie is None:
+                trie = yield from _own(held, depth, out, done)
+            if (budget, counts) != asked:  # words with the same counts follow each other
+                asked = budget, counts
+                leaves = search(trie, counts.encode(), depth, budget >> 1, budget & 1)
+            for leaf in leaves:
+                out.extend((word, n, w, m) for w, m in leaf.near(word))
+            if len(out) > 20000:
+                yield done()
+        if trie is None and held:
+            yield from _own(held, depth, out, done)
         if out:
             yield done()
 
     return placed.mapInArrow(match, "a string, n_a long, b string, n_b long")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _own(held: list[tuple[str, int, bytes]], depth: int, out: list, done) -> Iterator[pa.RecordBatch]:
+    """Pairs among a bucket's own words; returns the trie that holds them."""
+    trie, asked, leaves = trie_of(held, depth), None, []
+    for word, n, counts in held:
+        if counts != asked:
+            asked, leaves = counts, search(trie, counts, depth, 1, 1)
+        for leaf in leaves:
+            out.extend((word, n, w, m) for w, m in leaf.near(word) if word < w)
+        if len(out) > 20000:
+            yield done()
+    return trie
+
+
 def variants(words: DataFrame, *, ratio: int = RATIO, bucket: int = BUCKET) -> DataFrame:
     """``(word, form, root, n, n_near, form_n)`` of every word of ``(word, n, counts)``.
 

@@ -320,3 +320,24 @@ def test_pipeline_beside_plain_python(spark):
     assert final and len({r.doc_id for r in final}) == len(final)
     firsts = [r.positions[0] for r in final]
     assert firsts == sorted(firsts) and all(r.copies >= 1 for r in final)
+
+
+def test_two_texts_under_one_id(spark):
+    """Each text has its own class, and a class its smallest id; no row is lost or chosen at will."""
+    other = " ".join(f"other{i}" for i in range(150))
+    near = other.replace("other3 ", "another ")
+    rows = [(1, PROSE), (5, PROSE + " more"), (5, other), (3, near), (5, other), (8, "only here " * 9), (8, "only there " * 9)]
+    frame = spark.createDataFrame([(i, t, "x", "y", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    want = [(1, 1), (3, 3), (5, 1), (5, 3), (5, 3), (8, 8), (8, 8)]
+    assert by_id(minhash_icws.near_duplicates(frame), "class_id") == want
+    kept = by_id(minhash_icws.first_of_classes(frame), "text", "n_chars")
+    assert kept == by_id(minhash_icws.first_of_classes(frame.repartition(5)), "text", "n_chars")
+    assert sorted((i, t) for i, t, _ in kept) == sorted([(1, PROSE), (3, near), (8, "only here " * 9), (8, "only there " * 9)])
+
+
+def test_first_of_classes_keeps_other_columns_and_repeats_once(docs, none):
+    odd = docs.withColumns({"_id": F.lit("x"), "_mark": F.lit("y")})
+    kept = minhash_icws.first_of_classes(odd)
+    assert kept.columns == odd.columns
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [None, 1, 3, 6, 8, 9, 10]
+    assert minhash_icws.first_of_classes(none).count() == 0
