@@ -2,7 +2,7 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
 and read again as the next one's ``docs``. All but the last return the columns of
-``documents``.
+``documents``; further columns of its input are not carried along.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapweave.llm.decontaminate import drop_contaminated
 from gapweave.llm.line_dedup import drop_boilerplate
-from gapweave.llm.minhash_icws import near_duplicates
+from gapweave.llm.minhash_icws import first_of_classes
 from gapweave.llm.mixing import in_training_order, mix_sources
 from gapweave.llm.zstd_quality import fit_quality, score_quality
 from gapweave.storage import materialize
@@ -33,10 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class; those without an id are kept."""
-    first = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(materialize(first), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """Keep the row with the smallest id of each class; those without an id are kept."""
+    return first_of_classes(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
