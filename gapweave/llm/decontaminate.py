@@ -17,7 +17,10 @@ are not shuffled. What a task holds is bounded by the block and its longest docu
 
 Defined results: null or empty texts match nothing; items of fewer than ``LEAST`` words are
 not looked for; repeated items count once, a repeated document each time; an empty
-benchmark leaves all documents. A null id is reported as such.
+benchmark leaves all documents. A null id is reported as such. Of windows of one length the
+first in the document goes first, to the first free place in the item. Repetitive texts cost
+what others of their length do. Further columns stay in ``drop_contaminated`` and are not
+read by ``contaminated``.
 """
 
 from __future__ import annotations
@@ -39,13 +42,15 @@ FIELDS = "item_words long, tiled_words long, n_tiles int, longest int, coverage
 
 
 class Block(NamedTuple):
-    """Items of one block: their words, and seeds sorted by hash."""
+    """Items of one block: their words, seeds sorted by hash, and which items have which seed."""
 
     ids: list
     items: list[np.ndarray]
     seed: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    has_seed: np.ndarray
+    has_item: np.ndarray
     may: np.ndarray  # by the top bits of a hash: whether some seed has them
 
 
@@ -63,7 +68,10 @@ def _block(rows) -> Block:
     order = np.argsort(h, kind="stable")
     may = np.zeros(1 << 20, bool)
     may[(h >> U(44)).astype(np.int64)] = True
-    return Block([r.item_id for r in rows], items, h[order], t[order], p[order], may)
+    h, t, p = h[order], t[order], p[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    return Block([r.item_id for r in rows], items, h, t, p, h[new], t[new], may)
 
 
 def blocks(bench: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -98,64 +106,93 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, i
         used = np.concatenate(([0], np.cumsum(marked[side])))
         return np.flatnonzero(used[size:] == used[:-size])
 
-    def shared(size: int) -> list[tuple[int, int]]:
-        """Places of equal windows of unmarked words, ordered."""
-        if size > min(len(a), len(b)):
-            return []
+    def windows(size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Places of unmarked windows on both sides, and their hashes."""
         at = [free(k, size) for k in (0, 1)]
-        hashes = [_window(prefix[k], size, back)[at[k]] for k in (0, 1)]
-        common = np.intersect1d(*hashes)
-        if not len(common):
-            return []
+        return at, [_window(prefix[k], size, back)[at[k]] for k in (0, 1)]
+
+    def some(size: int) -> bool:
+        """Whether both sides have a window of this size."""
+        return size <= min(len(a), len(b)) and bool(len(np.intersect1d(*windows(size)[1])))
+
+    def mark(size: int) -> None:
+        """Walk one side in order and pair each unmarked window with the first unmarked equal one.
+
+        Marks only grow, so places of the other side that are marked are passed for good: the
+        pairs of equal windows, which repetitive texts have in great number, are never listed.
+        """
+        at, hashes = windows(size)
         by: dict[int, list[int]] = {}
-        for p, h in zip(at[1].tolist(), hashes[1].tolist()):
-            by.setdefault(h, []).append(p)
-        hit = np.isin(hashes[0], common)
-        return [
-            (i, j)
-            for i, h in zip(at[0][hit].tolist(), hashes[0][hit].tolist())
-            for j in by[h]
-            if np.array_equal(a[i : i + size], b[j : j + size])
-        ]
+        for q, h in zip(at[1][::-1].tolist(), hashes[1][::-1].tolist()):
+            by.setdefault(h, []).append(q)  # the first place is last
+        hit = np.isin(hashes[0], hashes[1])
+        taken = -1  # windows before this place overlap the last tile
+        for i, h in zip(at[0][hit].tolist(), hashes[0][hit].tolist()):
+            if i < taken:
+                continue
+            places, passed = by[h], []
+            while places:
+                j = places[-1]
+                if marked[1][j] or marked[1][j + size - 1]:  # tiles are no shorter, so an end is marked
+                    places.pop()
+                elif np.array_equal(a[i : i + size], b[j : j + size]):
+                    marked[0][i : i + size] = True
+                    marked[1][j : j + size] = True
+                    found.append((i, j, size))
+                    taken = i + size
+                    break
+                else:  # only the hash is equal
+                    passed.append(places.pop())
+            places += passed[::-1]
 
     low, high = least, min(len(a), len(b))
-    while high >= least:
-        if not shared(least):
-            break
+    while high >= least and some(least):
         low, top = least, high
         while low < top:  # the longest size with a match: a match holds matches of all smaller sizes
             middle = (low + top + 1) // 2
-            low, top = (middle, top) if shared(middle) else (low, middle - 1)
-        for i, j in shared(low):
-            if not (marked[0][i : i + low].any() or marked[1][j : j + low].any()):
-                marked[0][i : i + low] = True
-                marked[1][j : j + low] = True
-                found.append((i, j, low))
+            low, top = (middle, top) if some(middle) else (low, middle - 1)
+        mark(low)
         high = low - 1
     return found
 
 
+def _matches(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every ``(index in h, index in sorted_hashes)`` of equal hashes."""
+    left, right = np.searchsorted(sorted_hashes, h), np.searchsorted(sorted_hashes, h, "right")
+    count = right - left
+    return np.repeat(np.arange(len(h)), count), np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def _compare(data, at, block: Block, coverage: float) -> Iterator[tuple[int, int, int, int, int, int]]:
     """Rows ``(text, item, words, tiled, tiles, longest)`` of a chunk that reach the coverage."""
     word, text = words(*folded(data, at))
     h, t, p = shingles(word, text, LEAST)
     some = np.flatnonzero(block.may[(h >> U(44)).astype(np.int64)])
-    left, right = np.searchsorted(block.seed, h[some]), np.searchsorted(block.seed, h[some], "right")
-    some, left, count = some[right > left], left[right > left], (right - left)[right > left]
-    if not len(some):
+    h, t, p = h[some], t[some], p[some]
+    # where each document has a seed of each item
+    at_hit, entry = _matches(block.has_seed, h)
+    if not len(at_hit):
         return
-    # every hit with each of the items that have the seed
-    hit = np.repeat(some, count)
-    entry = np.repeat(left - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    doc, item = t[hit], block.item[entry]
-    order = np.lexsort((p[hit], item, doc))
-    doc, item, start, place = doc[order], item[order], p[hit][order], block.place[entry][order]
+    doc, item, start = t[at_hit], block.has_item[entry], p[at_hit]
+    order = np.lexsort((start, item, doc))
+    doc, item, start = doc[order], item[order], start[order]
+    # and where each item has a seed of the document, each distinct seed being looked up once
+    order = np.lexsort((h, t))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (t[order][1:] != t[order][:-1])
+    once = order[new]
+    at_seed, entry = _matches(block.seed, h[once])
+    of, with_item, place = t[once][at_seed], block.item[entry], block.place[entry]
+    order = np.lexsort((with_item, of))
+    of, with_item, place = of[order], with_item[order], place[order]
     cut = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
-    for x, y in zip(cut, np.append(cut[1:], len(doc))):
+    cut_item = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(with_item, prepend=-1) != 0))
+    ends, ends_item = np.append(cut[1:], len(doc)), np.append(cut_item[1:], len(of))
+    for x, y, u, v in zip(cut, ends, cut_item, ends_item):
         b = block.items[item[x]]
         seeds = np.zeros(len(b), bool)
         for j in range(LEAST):
-            seeds[place[x:y] + j] = True
+            seeds[place[u:v] + j] = True
         if seeds.sum() < coverage * len(b):
             continue
         at_words = np.unique((start[x:y, None] + np.arange(LEAST)).ravel())

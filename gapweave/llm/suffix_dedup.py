@@ -18,7 +18,7 @@ every suffix would cost fifty times the text. So suffixes travel in runs:
 4. Covered stretches go back to their documents, are merged, and cut the text.
 
 Defined results: null and empty texts have no bytes; texts under ``MATCH`` bytes lose
-nothing; a null id is larger than any other; rows of one id are never each other's smaller
+nothing; a null id is larger than any other but the largest number there is; rows of one id are never each other's smaller
 document, each row is judged by its own text; an empty table gives an empty result.
 Further columns are dropped by ``removed_spans``.
 """
@@ -189,6 +189,11 @@ def _spans_by_doc(ids, marks, doc, start, end):
         yield int(ids[doc[a]]), int(marks[doc[a]]), pairs[a:b].tobytes()
 
 
+def _rank(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The ids by which documents are smaller or larger: unknown ones come last."""
+    return np.where(marks < 0, LAST, ids)
+
+
 def _sender(split: Splitters):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +205,7 @@ def _sender(split: Splitters):
                 if not len(doc):
                     continue
                 size = last - begin + MATCH
-                keep, done = _settle(data, begin, size, doc, ids[doc])
+                keep, done = _settle(data, begin, size, doc, _rank(ids, marks)[doc])
                 rows = []
                 for i, mark, spans in _spans_by_doc(ids, marks, doc[done], (begin - at[doc])[done], (begin - at[doc] + size)[done]):
                     rows.append((int(mix64(np.array([i], np.int64).view(U))[0] % U(split.buckets)), None, i, mark, spans))
@@ -279,7 +284,7 @@ def _bucket(blobs: list[bytes]):
     body = np.concatenate([p[6] for p in parts])
     del parts
     begin = np.cumsum(size) - size
-    who = ids[doc]
+    who = _rank(ids, marks)[doc]
     one, two = tokens(body, begin + place)
     order = np.lexsort((two, one))
     new = np.flatnonzero(np.concatenate(([True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0))))
@@ -366,15 +371,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_spans(docs: DataFrame, *, bucket_bytes: int = BUCKET, sample: int = SAMPLE) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_bytes``, removed ``spans`` and the hash of what is left."""
+    # rows are told apart by id and 31 bits of a hash; rows without id by 64 bits more, in place
+    # of the id, and by a mark below zero
+    mark = F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
     keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"),
-        F.shiftright(F.xxhash64("text"), 33).cast("int").alias("mark"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1))).alias("doc_id"),
+        F.when(F.col("doc_id").isNull(), F.lit(-1) - mark).otherwise(mark).alias("mark"),
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"),
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     share = min(1.0, sample * (REACH + 1) / 2 / max(total, 1))
-    picked = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))
+    picked = F.pmod(F.xxhash64("doc_id", "mark", F.lit(17)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,7 +408,6 @@ def removed_spans(docs: DataFrame, *, bucket_bytes: int = BUCKET, sample: int =
         conf.set(CLEANUP, before)
     return (
         keyed.join(found, ["doc_id", "mark"], "left")
-        .select("doc_id", "text", "spans")
+        .select(F.when(F.col("mark") >= 0, F.col("doc_id")).alias("doc_id"), "text", "spans")
         .mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept_sha256 string")
-        .withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
     )

@@ -2,7 +2,9 @@
 
 import os
 import sys
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +343,39 @@ def test_first_of_classes_keeps_other_columns_and_repeats_once(docs, none):
     assert kept.columns == odd.columns
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [None, 1, 3, 6, 8, 9, 10]
     assert minhash_icws.first_of_classes(none).count() == 0
+
+
+def test_repeated_bytes_of_rows_without_id(spark):
+    """Rows without id are told apart, and the largest id stays what it is."""
+    last = (1 << 63) - 1
+    unique = [" ".join(f"u{i}x{j}" for j in range(25)) for i in range(3000)]
+    shared = "a passage that is more than fifty bytes long, shared by some of them; "
+    texts = [shared + t if i % 3 == 0 else t for i, t in enumerate(unique)]
+    rows = [(4, shared + "first"), (last, "kept apart " + unique[0])] + [(None, t) for t in texts] + [(None, texts[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = suffix_dedup.removed_spans(frame, bucket_bytes=4096).collect()
+    assert len(got) == len(rows) and sum(r.doc_id == last for r in got) == 1
+    cut = [r for r in got if r.spans]
+    assert len(cut) == 1001 and all(r.doc_id is None for r in cut)
+    assert all(sum(s.end - s.start for s in r.spans) >= len(shared.encode()) for r in cut)
+
+
+def test_tiles_of_repetitive_texts():
+    """The same tiles as by listing all pairs, and no slower for it."""
+    rng = np.random.default_rng(5)
+    for k in range(150):
+        top = 1 + k % 4
+        a, b = (rng.integers(1, top + 1, n).astype(np.uint64) for n in rng.integers(0, 60, 2))
+        got = decontaminate.tiles(a, b, 5)
+        assert sum(n for _, _, n in got) == brute.greedy_tiles(a.tolist(), b.tolist())
+    started = time.time()
+    assert decontaminate.tiles(np.ones(20000, np.uint64), np.ones(2000, np.uint64), 5) == [(0, 0, 2000)]
+    assert time.time() - started < 2
+
+
+def test_repetitive_document_against_repetitive_item(spark):
+    docs = spark.createDataFrame([(1, "again " * 20000), (2, "again and " * 9000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "again " * 2000), (8, "and again " * 300)], "item_id long, text string")
+    started = time.time()
+    got = {(r.doc_id, r.item_id): r.tiled_words for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 7): 2000, (2, 8): 600} and time.time() - started < 60
