@@ -1,0 +1,8 @@
+"""Operators on panels."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions carry their code along, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

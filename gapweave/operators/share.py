@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gapweave.functions.aggregates import total_of_distinct
 from gapweave.operators.blocks import join_on_group
-from gapweave.operators.grid import time_range
+from gapweave.operators.grid import COUNT, time_range
 from gapweave.spec import PANEL, PanelSpec
 
 
@@ -60,17 +60,25 @@ def fill_ltmean(
 
     Covers every time from the first to the last of the key. The result has no
     variance. A time at which both areas were observed comes out twice, once for
-    each share: use :func:`check_alternating` to find such times.
+    each share: use :func:`check_alternating` to find such times. Several rows of one cell are
+    an error.
     """
     name = measure or spec.measures[0]
     narrow = df.where(F.col(spec.area).isin(*pair)).select(*spec.cell, name)
     shares = longterm_shares(
         narrow, spec, pair=pair, measure=name, mean_start=mean_start, dedup=dedup
     ).select(*spec.keys, "share_a", "share_b")
-    a, b = (F.max(F.when(F.col(spec.area) == x, F.col(name))) for x in pair)
-    # Stacked with the range and folded per time: the completed pair in wide form.
+    sides = [F.when(F.col(spec.area) == x, F.col(name)) for x in pair]
+    # Stacked with the range and folded per time: the completed pair in wide form. A cell with
+    # several rows would mix their values, so it is refused.
     years = narrow.unionByName(time_range(narrow, spec), allowMissingColumns=True)
-    years = years.groupBy(*spec.keys, spec.time).agg(a.alias("_a"), b.alias("_b"))
+    rows = [F.sum(F.when(F.col(spec.area) == x, 1)) for x in pair]
+    years = years.groupBy(*spec.keys, spec.time).agg(
+        *(F.max(c).alias(n) for c, n in zip(sides, ("_a", "_b"))), F.greatest(*rows).alias(COUNT)
+    )
+    shown = F.concat_ws(", ", *(F.col(c).cast("string") for c in (*spec.keys, spec.time)))
+    repeated = F.raise_error(F.concat(F.lit("repeated cell: "), shown)).cast(df.schema[spec.time].dataType)
+    years = years.withColumn(spec.time, F.when(F.col(COUNT) > 1, repeated).otherwise(F.col(spec.time))).drop(COUNT)
     years = join_on_group(years, shares, spec.keys, [spec.time])
 
     # Share of the area(s) surveyed at that time, at most two per row.

@@ -137,6 +137,19 @@ def q_csv_round_trip(spark, folder):
     return _rounded(read_panel_csv(spark, [f"{base}/a", f"{base}/b"]))
 
 
+def q_csv_inferred(spark, folder):
+    """The panel read back without a schema, whole and decimal spellings mixed, with the types found."""
+    p = materialize(supplier_panel(spark, folder))
+    base = f"{work_folder(spark).rstrip('/')}/gapweave/{uuid.uuid4().hex}"
+    target = F.col("strata").isin(*TARGETS)
+    whole = F.when(F.col("rpn") == F.floor("rpn"), F.floor("rpn").cast("string")).otherwise(F.col("rpn").cast("string"))
+    write_panel_csv(p.where(target).withColumn("rpn", whole), f"{base}/a")
+    write_panel_csv(p.where(~target).select(*reversed(p.columns)), f"{base}/b")
+    back = read_panel_csv(spark, [f"{base}/a", f"{base}/b"], infer=True)
+    types = ", ".join(f"{c} {t}" for c, t in sorted(back.dtypes))
+    return _rounded(back.select(*p.columns)).withColumn("types", F.lit(types))
+
+
 def q_schedule_by_pattern(spark, folder):
     """Survey values where the areas surveyed always are named by a pattern."""
     schedule = Schedule(SCHEDULE.periodic, always_like="^(ASIA|EUR)")

@@ -627,6 +627,11 @@ ORACLE: dict[str, str] = {
     "select_like": chain(PANEL, final=keep("species year strata", "rpn rpn_var", "panel")),
     "drop_like": chain(PANEL, final=keep("species year strata", "rpn", "panel")),
     "csv_round_trip": chain(PANEL, final=keep("species year strata", "rpn rpn_var rpw rpw_var", "panel")),
+    "csv_inferred": chain(
+        PANEL,
+        "typed as (select *, 'rpn double, rpn_var double, rpw double, rpw_var double, species string, strata string, year int' as types from panel)",
+        final=keep("species year strata types", "rpn rpn_var rpw rpw_var", "typed"),
+    ),
     "schedule_by_pattern": chain(
         PANEL,
         """marked as (

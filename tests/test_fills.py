@@ -221,3 +221,9 @@ def test_several_methods_on_one_grid(panel, span):
         assert got.keys() == want.keys() and len(got) == 3 * 4 * 11
         for k in want:
             assert got[k] == pytest.approx(want[k]), k
+
+
+def test_share_fill_refuses_repeated_cells(panel):
+    p = panel([("s", 1, "A", 10), ("s", 1, "A", 30), ("s", 2, "B", 5)])
+    with pytest.raises(Exception, match="repeated cell: s, 1"):
+        fill_ltmean(p, pair=("A", "B")).collect()

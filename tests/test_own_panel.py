@@ -10,6 +10,8 @@ from brute import dense_model, grid
 from conftest import as_dict
 from gapweave.operators.ar1 import ar1_fit, ar1_predict, ar1_series, fill_ar1
 from gapweave.operators.grid import complete_grid, pivot_area
+from gapweave.operators.index import total_index
+from gapweave.operators.ratio import fill_ratio
 from gapweave.operators.project import drop_like, select_like
 from gapweave.operators.stack import compare_external
 from gapweave.plans.survey_index import compare_methods, share_and_linear_index
@@ -223,3 +225,57 @@ def test_projection_by_name(panel):
     p = panel([("s", 1, "A", 1)])
     assert select_like(p, "RPN", keep=["year"]).columns == ["year", "rpn", "rpn_var"]
     assert drop_like(p, "_VAR", "Rpw").columns == [c for c in p.columns if "var" not in c and "rpw" not in c]
+
+
+# Survey indices of some years as published, with the totals published beside them,
+# and cells that two of the areas lack, filled from the total of the other three.
+PUBLISHED = [
+    ("s", 1996, "AI", 57517, 8270513.223, 163925, 67178514.06),
+    ("s", 1998, "AI", 98842.2276127975, 98790853.0451977, 301003.874949765, 903277122.857582),
+    ("s", 2022, "AI", 407632.617179076, 756223550.22889, 863338.438847994, 3397767845.59522),
+    ("s", 1995, "BS", 54024.17, 7296527.36, 169458.08, 71790102.19),
+    ("s", 1997, "BS", 42959.5606141973, 23585964.5995389, 156848.110248464, 314130156.08718),
+    ("s", 2021, "BS", 405576.197908769, 698648130.916462, 915848.684447859, 3361144180.74272),
+    ("s", 2023, "BS", 442355.955525492, 2427627557.83167, 962495.760236742, 11213091712.7836),
+    ("s", 1995, "CG", 153683.786906392, 143719833.6506, 557624.005581848, 1688633886.62484),
+    ("s", 1996, "CG", 180251.3646209, 196606456.79541, 733880.413579052, 3169463534.91516),
+    ("s", 1997, "CG", 164673.726467585, 214396850.513641, 636699.24259278, 3131112471.91945),
+    ("s", 1998, "CG", 128441.440055802, 154525898.574929, 484677.898287203, 2248025209.74345),
+    ("s", 2021, "CG", 232724.773031101, 426679127.345616, 560908.086842196, 2470265560.57152),
+    ("s", 2022, "CG", 267640.478578969, 341397365.095918, 672326.905989675, 2145872544.87164),
+    ("s", 2023, "CG", 295720.957067924, 1029397209.3707, 703293.482211924, 5988584458.94638),
+    ("s", 1995, "EG", 164910.984805079, 93460620.8356982, 639088.667414303, 1490821203.15773),
+    ("s", 1996, "EG", 154843.490463385, 46216248.2487091, 648799.588530097, 792587371.759071),
+    ("s", 1997, "EG", 152334.982041317, 76010986.9025699, 586740.118198854, 1126312046.14672),
+    ("s", 1998, "EG", 144882.647642931, 86424823.9818459, 557827.214940817, 1421043085.38073),
+    ("s", 2021, "EG", 168332.722279292, 90852306.8222594, 452433.654582381, 698077010.391322),
+    ("s", 2022, "EG", 209235.494379624, 109366188.77166, 565568.879308238, 818815859.133372),
+    ("s", 2023, "EG", 223329.323172325, 246376246.004504, 557779.673206876, 1550475028.25414),
+    ("s", 1995, "WG", 58461.573839089, 35045955.7206184, 187575.372565793, 360785053.814619),
+    ("s", 1996, "WG", 58454.070694653, 41944300.7006177, 199883.285966659, 490451873.681383),
+    ("s", 1997, "WG", 62329.9831830612, 22242853.7989302, 172471.488230462, 170306455.195111),
+    ("s", 1998, "WG", 64317.630077073, 57354197.1188038, 195805.648899631, 531564012.783664),
+    ("s", 2021, "WG", 133654.053120818, 154844034.360686, 297883.130738417, 769169456.734655),
+    ("s", 2022, "WG", 153910.783240489, 85095407.1723653, 361681.113711763, 469915409.632728),
+    ("s", 2023, "WG", 138086.289268083, 298141383.930096, 286882.156317041, 1286850862.14793),
+]
+PUBLISHED_TOTALS = {1998: (474721.383747383, 1678454.39881515), 2022: (1516868.16510711, 3580168.70128311), 2023: (1524153.15248083, 3345927.83027528)}
+FILLED = {
+    ("AI", 1997): (55440.1806, 144591.1754),
+    ("AI", 2023): (424660.6274, 835476.7583),
+    ("BS", 1996): (56387.2066, 193730.0095),
+    ("BS", 2022): (478448.7917, 1117253.3634),
+}
+
+
+def test_published_totals(panel):
+    """The ratio fill and the strict total give what was published."""
+    p = panel(PUBLISHED)
+    spec = PANEL.measured(p)
+    filled = fill_ratio(p, spec, targets=["AI", "BS"], start=1996, label="ratio")
+    cells = as_dict(filled, "rpn", "rpw", key=("strata", "year"))
+    for k, want in FILLED.items():
+        assert cells[k] == pytest.approx(want, abs=1e-4)
+    totals = as_dict(total_index(filled, spec), "rpn", "rpw", key=("year",))
+    for year, want in PUBLISHED_TOTALS.items():
+        assert totals[(year,)] == pytest.approx(want, rel=1e-9)

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from gapweave.sources.extract import extract_alternating, extract_total
 from gapweave.sources.panel_io import (
+    headers,
+    infer_csv_schema,
     jdbc_options,
     read_panel_csv,
     write_panel_csv,
@@ -92,3 +94,48 @@ def test_materialize_uses_the_configured_folder(spark, panel):
     assert folder == spark.conf.get("spark.checkpoint.dir")
     table = materialize(panel(ROWS))
     assert all(folder in f for f in table.inputFiles()) and sorted_rows(table) == sorted_rows(panel(ROWS))
+
+
+def test_types_of_all_files_count(spark, tmp_path):
+    """One value decides, wherever it is; columns may come in any order or be absent."""
+    (tmp_path / "a.csv").write_text(
+        "n,big,x,flag,day,at,text,none,odd\n"
+        + "1,2,3,true,2020-01-31,2020-01-31 10:00:00,a,NA,1\n" * 500
+        + "-7,3000000000,4.5,FALSE,2020-02-01,2020-02-01,1,,true\n"
+    )
+    (tmp_path / "b.csv").write_text("x,n,later,big,huge\n.5,+3,007,1,12345678901234567890\n1e-3,NA,8,2,1\n")
+    (tmp_path / "c.csv").write_text("x,n\n")
+    found = {f.name: f.dataType.simpleString() for f in infer_csv_schema(spark, str(tmp_path))}
+    assert found == {
+        "n": "int", "big": "bigint", "x": "double", "flag": "boolean", "day": "date", "at": "timestamp",
+        "text": "string", "none": "string", "odd": "string", "later": "int", "huge": "double",
+    }
+    back = read_panel_csv(spark, str(tmp_path), infer=True)
+    assert dict(back.dtypes) == found and back.count() == 503
+    rows = back.where("later is not null").orderBy("later").collect()
+    assert [(r.x, r.n, r.later, r.big, r.flag, r.huge) for r in rows] == [
+        (0.5, 3, 7, 1, None, 12345678901234567890.0), (0.001, None, 8, 2, None, 1.0)
+    ]
+
+
+def test_no_type_fits_all(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b,c,d\n1,2020-01-01, 5,2020-02-30\n")
+    (tmp_path / "b.csv").write_text("a,b,c,d\n2020-01-01,7,5,2020-01-01\n")
+    assert {f.dataType.simpleString() for f in infer_csv_schema(spark, str(tmp_path))} == {"string"}
+
+
+def test_headers_are_first_lines(spark, tmp_path):
+    """Of every file, also of long ones in several parts and of those without further lines."""
+    for i in range(12):
+        names = "b,a" if i % 3 else "a,b"
+        (tmp_path / f"f{i}.csv").write_text(f"{names}\n" + "9,8\n" * (0 if i == 5 else 3000 if i == 7 else 2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = headers(spark, [str(tmp_path)])
+        plan = read_panel_csv(spark, str(tmp_path), infer=True)
+        assert plan.count() == 3000 + 10 * 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    names = {k: sorted(int(f.rsplit("/f", 1)[1].split(".")[0]) for f in v) for k, v in found.items()}
+    assert names == {("a", "b"): [0, 3, 6, 9], ("b", "a"): [1, 2, 4, 5, 7, 8, 10, 11]}
