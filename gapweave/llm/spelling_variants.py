@@ -35,7 +35,7 @@ RATIO = 10
 MISSPELL = 31
 GROUPS = 16
 BUCKET = 1 << 15
-OWN = 0  # the budget of a word in its own bucket, which comes before those of queries
+OWN = -1  # the budget of a word in its own bucket, which comes before those of queries
 FEW = 16  # leaves up to this size are verified as they are
 HELD = 1 << 18  # counted words a task holds before it hands them on
 
@@ -52,14 +52,14 @@ def letter_group(c: str) -> int:
 
 
 def counts_of(word: str, group: dict[str, int]) -> str:
-    """The word's letter-group counts, as one character a group."""
+    """The word's letter-group counts, as one ASCII character a group; from 79 on they count as 79."""
     counts = [0] * GROUPS
     for c in word:
         g = group.get(c)
         if g is None:
             g = group[c] = letter_group(c)
         counts[g] += 1
-    return "".join(map(chr, (n + 48 for n in counts)))
+    return "".join(chr(48 + min(n, 79)) for n in counts)
 
 
 def word_counts(
@@ -118,14 +118,14 @@ def one_apart(a: str, b: str) -> bool:
 
 
 class Leaf:
-    """Words with the same counts, hence of one length; many are looked up by their halves.
+    """Words with the same counts; many are looked up by their halves.
 
     Two words one letter apart share what comes before the letter and what comes after it, so
     they share their first or their last ``half`` code points.
     """
 
     def __init__(self, words: list[tuple[str, int]]):
-        self.words, self.half = words, max(0, (len(words[0][0]) - 2) // 2)
+        self.words, self.half = words, max(0, (min(len(w) for w, _ in words) - 2) // 2)
         self.parts: dict[tuple[bool, str], list[tuple[str, int]]] = {}
         if len(words) > FEW:
             for w in words:
