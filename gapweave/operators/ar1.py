@@ -498,7 +498,7 @@ def _grid_fit(series: DataFrame, group: Sequence[str], points, spec: PanelSpec,
 STATE = ("x", "y", "f", "gx", "gy", "hxx", "hxy", "hyy", "damp", "try_x", "try_y", "done")
 DERIVATIVES = ("f", "gx", "gy", "hxx", "hxy", "hyy")
 LEAST_CURVATURE = "(hxx + hyy) / 2D - sqrt((hxx - hyy) / 2D * ((hxx - hyy) / 2D) + hxy * hxy)"
-ROUNDS = 3  # rounds of the fit between two stored states
+ROUNDS = 6  # rounds of the fit between two stored states
 
 
 def _slopes_at(

@@ -22,6 +22,7 @@ RUN = "_run"
 OFFSET = "_offset"
 CONTEXT = "_context"
 COUNT = "_count"
+STRIP = 1000  # rows of the smaller side of a product that meet a strip of the other side
 
 
 @dataclass(frozen=True)
@@ -69,16 +70,34 @@ def as_runs(times: DataFrame, spec: PanelSpec) -> DataFrame:
     return times.groupBy(*spec.keys, BLOCK).agg(F.sort_array(F.collect_list(moment)).alias(RUN))
 
 
+def product(left: DataFrame, right: DataFrame, right_rows: int) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``, the smaller side, spread over all tasks.
+
+    Rows of the left side are dealt to as many strips as there are shuffle partitions, and the
+    right side goes to each strip; beyond ``STRIP`` rows it is cut into parts, and the left side
+    goes to each part. So no task holds a whole side, whatever the product's size.
+    """
+    strips = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-right_rows // STRIP))
+    dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumn("_strip", dealt(left, strips)).withColumn("_part", every(parts))
+    b = right.withColumn("_part", dealt(right, parts)).withColumn("_strip", every(strips))
+    return a.join(b, ["_strip", "_part"]).drop("_strip", "_part")
+
+
 def _whole_panel(df: DataFrame, spec: PanelSpec, areas, start) -> tuple[DataFrame, DataFrame]:
-    """Every area and every time of the panel for each key, observed there or not."""
+    """Every area and every time of the panel for each key, observed there or not.
+
+    Distinct values are found where they are and only counted on the driver; the times are
+    gathered by block, which bounds each list.
+    """
     groups = df.select(*spec.keys).distinct()
     times = df if start is None else df.where(F.col(spec.time) >= start)
     named = df if areas is None else df.where(F.col(spec.area).isin(*areas))
-    all_areas = named.select(F.collect_set(spec.area)).scalar()
-    all_times = times.select(F.collect_set(spec.time)).scalar()
-    series = groups.select(*spec.keys, F.explode(all_areas).alias(spec.area))
-    times = add_block(groups.select(*spec.keys, F.explode(all_times).alias(spec.time)), spec)
-    return series, as_runs(times, spec)
+    all_areas = named.select(spec.area).distinct()
+    blocks = as_runs(add_block(times.select(spec.time).distinct(), spec), spec.with_(keys=()))
+    return product(groups, all_areas, all_areas.count()), product(groups, blocks, blocks.count())
 
 
 def _series_blocks(

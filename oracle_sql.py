@@ -629,7 +629,10 @@ ORACLE: dict[str, str] = {
     "csv_round_trip": chain(PANEL, final=keep("species year strata", "rpn rpn_var rpw rpw_var", "panel")),
     "csv_inferred": chain(
         PANEL,
-        "typed as (select *, 'rpn double, rpn_var double, rpw double, rpw_var double, species string, strata string, year int' as types from panel)",
+        # the keys are whole numbers as text, so whole numbers are what is found
+        """typed as (
+          select * replace (cast(species as int) as species),
+            'rpn double, rpn_var double, rpw double, rpw_var double, species int, strata string, year int' as types from panel)""",
         final=keep("species year strata types", "rpn rpn_var rpw rpw_var", "typed"),
     ),
     "schedule_by_pattern": chain(

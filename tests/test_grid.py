@@ -1,5 +1,8 @@
+import itertools
+
 import pytest
 
+import gapweave.operators.grid as module
 from brute import grid, random_panel
 from conftest import as_dict
 from gapweave.operators.grid import complete_grid, complete_range, pivot_area, unpivot_area
@@ -30,6 +33,22 @@ def test_whole_panel_grid(panel):
     assert len(complete_grid(panel(rows)).collect()) == 4 + 1
 
 
+@pytest.mark.parametrize("span", SPANS)
+@pytest.mark.parametrize("strip", [1000, 2])
+def test_whole_panel_grid_in_parts(panel, span, strip, monkeypatch):
+    monkeypatch.setattr(module, "STRIP", strip)
+    rows = random_panel(5, species=3)
+    p = panel(rows)
+    known = {r[:3]: r[3] for r in rows}
+    got = as_dict(complete_grid(p, PANEL.with_(block_span=span), nesting=False), "rpn", key=("species", "year", "strata"))
+    sides = [{r[i] for r in rows} for i in range(3)]
+    assert got == {k: known.get(k) for k in itertools.product(*sides)}
+
+
+def test_whole_panel_grid_of_nothing(panel):
+    assert complete_grid(panel([]), nesting=False).collect() == []
+
+
 @pytest.mark.parametrize("span", SPANS)
 def test_full_range(panel, span):
     rows = [("s", -2, "A", 1), ("s", 3, "B", 2), ("t", 5, "C", 3)]
