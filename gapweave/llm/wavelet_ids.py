@@ -21,10 +21,13 @@ document. A table without rows gives no shard. Further columns of the input are
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -164,6 +167,18 @@ class Encoder:
         ]
 
 
+def encoder_of(spec: str, special: bool) -> Encoder:
+    """The process's encoder of a tokenizer: tasks of one worker go on with the pieces of the last.
+
+    Task code is loaded anew for each task, so the encoder is held by a module of its own.
+    """
+    held = sys.modules.setdefault("_gapweave_encoders", types.ModuleType("_gapweave_encoders")).__dict__
+    name = f"{hashlib.sha256(spec.encode()).hexdigest()}_{special}"
+    if name not in held:
+        held[name] = Encoder(spec, special=special)
+    return held[name]
+
+
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, width: int, block: int = BLOCK) -> bytes:
     """The bytes of one file."""
     n = len(ids)
@@ -401,7 +416,7 @@ def write_shards(
         from pyspark import TaskContext
 
         system, root = _file_system(folder)
-        part, encoder = TaskContext.get().partitionId(), Encoder(sent.value, special=special)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(sent.value, special)
         width = max(encoder.width, end_id.bit_length())
         rows = []
         for shard, (doc_ids, lengths, ids) in enumerate(_shards(_encoded(batches, encoder), encoder, end_id, shard_ids)):
