@@ -104,8 +104,11 @@ def _series_blocks(
     df: DataFrame, series: DataFrame, runs: DataFrame, spec: PanelSpec, contexts: Sequence[Context]
 ) -> tuple[DataFrame, list[str]]:
     """One row per ``(series, block)`` with its run, offset and context, and the names in it."""
+    # A broadcast join would tell the partitioning of stored buckets by the columns of either side,
+    # which no longer equals that of the rows; after a sort-merge join the cells are dealt anew.
+    last = (lambda df: df.hint("merge")) if spec.buckets else (lambda df: df)
     if spec.one_block:
-        return series.join(runs, list(spec.keys)).withColumn(OFFSET, F.lit(0)), []
+        return series.join(last(runs), list(spec.keys)).withColumn(OFFSET, F.lit(0)), []
     # Only block numbers meet the series first, so that the join which brings the
     # times is by (keys, block) and no row of it yields more than one block of cells.
     offsets = runs.select(*spec.keys, BLOCK, F.size(RUN).alias("_size"))
@@ -130,7 +133,7 @@ def _series_blocks(
         pairs = table.select(*spec.series, BLOCK, *(v.alias(n) for n, v in columns.items()))
         bundle = F.struct(*columns).alias(CONTEXT)
         pairs = pairs.select(*spec.series, BLOCK, bundle)
-    return pairs.join(runs, [*spec.keys, BLOCK]), list(columns)
+    return pairs.join(last(runs), [*spec.keys, BLOCK]), list(columns)
 
 
 def grid_blocks(
@@ -154,7 +157,8 @@ def grid_blocks(
 
     The cells and the data rows are stacked and folded per cell, which equals the
     left join of the grid to the data and needs a single shuffle whose partitioning all
-    later steps reuse. A cell with several data rows is an error.
+    later steps reuse. A panel stored by series needs none: Spark keeps the partitioning of
+    a union whose sides have the same. A cell with several data rows is an error.
     """
     wanted = F.lit(True) if areas is None else F.col(spec.area).isin(*areas)
     skeleton = df if skeleton is None else skeleton
@@ -169,6 +173,9 @@ def grid_blocks(
 
     cells, context = _series_blocks(rows, series, runs, spec, contexts)
     bundle = [CONTEXT] if context else []
+    if spec.buckets:
+        # one row per block goes to the bucket of its series; the stored rows stay
+        cells = cells.repartition(spec.buckets, *spec.series)
     cells = cells.select(
         *spec.series, BLOCK, OFFSET, *bundle, F.posexplode(RUN).alias("_i", "_moment")
     ).select(
@@ -182,7 +189,8 @@ def grid_blocks(
     )
     counted = add_block(rows, spec).withColumn(COUNT, F.lit(1))
     both = cells.unionByName(counted, allowMissingColumns=True)
-    both = both.repartition(*spec.series, BLOCK)
+    if not spec.buckets:
+        both = both.repartition(*spec.series, BLOCK)
     key = [*spec.series, BLOCK, spec.time]
     folds = {c: F.max(c) for c in both.columns if c not in (*key, COUNT)}
     grid = single_rows(both, key, folds)

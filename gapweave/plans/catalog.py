@@ -42,7 +42,7 @@ from gapweave.sources.order_panels import (
     supplier_panel,
     supplier_total,
 )
-from gapweave.sources.panel_io import read_panel_csv, write_panel_csv
+from gapweave.sources.panel_io import read_panel_csv, read_panel_table, write_panel_csv, write_panel_table
 from gapweave.spec import PanelSpec, Schedule
 from gapweave.storage import materialize, work_folder
 
@@ -150,6 +150,84 @@ def q_csv_inferred(spark, folder):
     return _rounded(back.select(*p.columns)).withColumn("types", F.lit(types))
 
 
+def q_csv_inferred(spark, folder):
+    """The panel read back without a schema, whole and decimal spellings mixed, with the types found."""
+    p = materialize(supplier_panel(spark, folder))
+    base = f"{work_folder(spark).rstrip('/')}/gapweave/{uuid.uuid4().hex}"
+    target = F.col("strata").isin(*TARGETS)
+    whole = F.when(F.col("rpn") == F.floor("rpn"), F.floor("rpn").cast("string")).otherwise(F.col("rpn").cast("string"))
+    write_panel_csv(p.where(target).withColumn("rpn", whole), f"{base}/a")
+    write_panel_csv(p.where(~target).select(*reversed(p.columns)), f"{base}/b")
+    back = read_panel_csv(spark, [f"{base}/a", f"{base}/b"], infer=True)
+    types = ", ".join(f"{c} {t}" for c, t in sorted(back.dtypes))
+    return _rounded(back.select(*p.columns)).withColumn("types", F.lit(types))
+
+
+def q_csv_inferred(spark, folder):
+    """The panel read back without a schema, whole and decimal spellings mixed, with the types found."""
+    p = materialize(supplier_panel(spark, folder))
+    base = f"{work_folder(spark).rstrip('/')}/gapweave/{uuid.uuid4().hex}"
+    target = F.col("strata").isin(*TARGETS)
+    whole = F.when(F.col("rpn") == F.floor("rpn"), F.floor("rpn").cast("string")).otherwise(F.col("rpn").cast("string"))
+    write_panel_csv(p.where(target).withColumn("rpn", whole), f"{base}/a")
+    write_panel_csv(p.where(~target).select(*reversed(p.columns)), f"{base}/b")
+    back = read_panel_csv(spark, [f"{base}/a", f"{base}/b"], infer=True)
+    types = ", ".join(f"{c} {t}" for c, t in sorted(back.dtypes))
+    return _rounded(back.select(*p.columns)).withColumn("types", F.lit(types))
+
+
+def q_csv_inferred(spark, folder):
+    """The panel read back without a schema, whole and decimal spellings mixed, with the types found."""
+    p = materialize(supplier_panel(spark, folder))
+    base = f"{work_folder(spark).rstrip('/')}/gapweave/{uuid.uuid4().hex}"
+    target = F.col("strata").isin(*TARGETS)
+    whole = F.when(F.col("rpn") == F.floor("rpn"), F.floor("rpn").cast("string")).otherwise(F.col("rpn").cast("string"))
+    write_panel_csv(p.where(target).withColumn("rpn", whole), f"{base}/a")
+    write_panel_csv(p.where(~target).select(*reversed(p.columns)), f"{base}/b")
+    back = read_panel_csv(spark, [f"{base}/a", f"{base}/b"], infer=True)
+    types = ", ".join(f"{c} {t}" for c, t in sorted(back.dtypes))
+    return _rounded(back.select(*p.columns)).withColumn("types", F.lit(types))
+
+
+def q_csv_inferred(spark, folder):
+    """The panel read back without a schema, whole and decimal spellings mixed, with the types found."""
+    p = materialize(supplier_panel(spark, folder))
+    base = f"{work_folder(spark).rstrip('/')}/gapweave/{uuid.uuid4().hex}"
+    target = F.col("strata").isin(*TARGETS)
+    whole = F.when(F.col("rpn") == F.floor("rpn"), F.floor("rpn").cast("string")).otherwise(F.col("rpn").cast("string"))
+    write_panel_csv(p.where(target).withColumn("rpn", whole), f"{base}/a")
+    write_panel_csv(p.where(~target).select(*reversed(p.columns)), f"{base}/b")
+    back = read_panel_csv(spark, [f"{base}/a", f"{base}/b"], infer=True)
+    types = ", ".join(f"{c} {t}" for c, t in sorted(back.dtypes))
+    return _rounded(back.select(*p.columns)).withColumn("types", F.lit(types))
+
+
+def q_csv_inferred(spark, folder):
+    """The panel read back without a schema, whole and decimal spellings mixed, with the types found."""
+    p = materialize(supplier_panel(spark, folder))
+    base = f"{work_folder(spark).rstrip('/')}/gapweave/{uuid.uuid4().hex}"
+    target = F.col("strata").isin(*TARGETS)
+    whole = F.when(F.col("rpn") == F.floor("rpn"), F.floor("rpn").cast("string")).otherwise(F.col("rpn").cast("string"))
+    write_panel_csv(p.where(target).withColumn("rpn", whole), f"{base}/a")
+    write_panel_csv(p.where(~target).select(*reversed(p.columns)), f"{base}/b")
+    back = read_panel_csv(spark, [f"{base}/a", f"{base}/b"], infer=True)
+    types = ", ".join(f"{c} {t}" for c, t in sorted(back.dtypes))
+    return _rounded(back.select(*p.columns)).withColumn("types", F.lit(types))
+
+
+def q_csv_inferred(spark, folder):
+    """The panel read back without a schema, whole and decimal spellings mixed, with the types found."""
+    p = materialize(supplier_panel(spark, folder))
+    base = f"{work_folder(spark).rstrip('/')}/gapweave/{uuid.uuid4().hex}"
+    target = F.col("strata").isin(*TARGETS)
+    whole = F.when(F.col("rpn") == F.floor("rpn"), F.floor("rpn").cast("string")).otherwise(F.col("rpn").cast("string"))
+    write_panel_csv(p.where(target).withColumn("rpn", whole), f"{base}/a")
+    write_panel_csv(p.where(~target).select(*reversed(p.columns)), f"{base}/b")
+    back = read_panel_csv(spark, [f"{base}/a", f"{base}/b"], infer=True)
+    types = ", ".join(f"{c} {t}" for c, t in sorted(back.dtypes))
+    return _rounded(back.select(*p.columns)).withColumn("types", F.lit(types))
+
+
 def q_schedule_by_pattern(spark, folder):
     """Survey values where the areas surveyed always are named by a pattern."""
     schedule = Schedule(SCHEDULE.periodic, always_like="^(ASIA|EUR)")
@@ -254,6 +332,15 @@ def q_linear_fill(spark, folder):
     return _rounded(_linear(*_suppliers(spark, folder)))
 
 
+def q_linear_fill_stored(spark, folder):
+    """On a panel stored by series: the rows are filled where they lie."""
+    name = f"panel_{uuid.uuid4().hex}"
+    path = f"{work_folder(spark).rstrip('/')}/gapweave/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_panel_table(supplier_panel(spark, folder), name, buckets=buckets, path=path)
+    return _rounded(_linear(*read_panel_table(spark, name)))
+
+
 def q_linear_fill_daily(spark, folder):
     p, spec = _stored(daily_panel(spark, folder))
     return _rounded(fill_linear(p, spec, maxgap=6, label="linear"))

@@ -185,6 +185,35 @@ def write_panel_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, nullValue=MISSING)
 
 
+def write_panel_table(
+    df: DataFrame, name: str, spec: PanelSpec = PANEL, *, buckets: int, path: str | None = None
+) -> None:
+    """Replace the table ``name`` by the panel, stored by series in ``buckets`` buckets.
+
+    Rows are dealt by key and area as the buckets are, so each task writes one file, sorted by
+    series and time. Choose buckets so that one fits into a task's memory; a series lies in one
+    of them. With ``path`` the files are kept there, else in the warehouse.
+    """
+    out = df.repartition(buckets, *spec.series).write.format("parquet").mode("overwrite")
+    out = out.bucketBy(buckets, *spec.series).sortBy(*spec.series, spec.time)
+    (out if path is None else out.option("path", path)).saveAsTable(name)
+
+
+def read_panel_table(
+    spark: SparkSession, name: str, spec: PanelSpec = PANEL
+) -> tuple[DataFrame, PanelSpec]:
+    """A table written by :func:`write_panel_table`, and its layout with buckets and extent.
+
+    Fills by this layout add to the rows where they are stored, without a shuffle of them.
+    """
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    by = [c.strip("`") for c in told.get("Bucket Columns", "[]").strip("[]").split(", ")]
+    if by != spec.series:
+        raise ValueError(f"{name} is not stored by {spec.series} but by {by}")
+    table = spark.table(name)
+    return table, spec.with_(buckets=int(told["Num Buckets"])).measured(table)
+
+
 def write_panel_parquet(
     df: DataFrame, path: str, spec: PanelSpec = PANEL, partition_by: Sequence[str] = ()
 ) -> None:

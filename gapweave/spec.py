@@ -17,6 +17,10 @@ class PanelSpec:
     follows the order of a series is done per ``(series, block)`` and joined up
     through one small row per block, so a single long series is spread over many
     tasks and no task or array ever holds more than ``block_span`` of its rows.
+
+    ``buckets`` is set for a panel that is stored by series in as many buckets
+    (:func:`gapweave.sources.panel_io.read_panel_table`). Its rows are then worked on where
+    they are stored, and only what is added to them travels; a series lies in one bucket.
     """
 
     keys: tuple[str, ...] = ("species",)
@@ -25,6 +29,7 @@ class PanelSpec:
     measures: tuple[str, ...] = ("rpn", "rpw")
     block_span: int = 1024
     extent: tuple[int, int] | None = None
+    buckets: int | None = None
 
     @property
     def one_block(self) -> bool:

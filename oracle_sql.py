@@ -499,6 +499,7 @@ ORACLE: dict[str, str] = {
         final=keep(CELL, "rpn rpw", "lines"),
     ),
     "linear_fill": chain(PANEL, GRID, LINEAR, final=keep(CELL + " method", VALUES, "linear")),
+    "linear_fill_stored": chain(PANEL, GRID, LINEAR, final=keep(CELL + " method", VALUES, "linear")),
     "linear_fill_daily": chain(DAYS, GRID, linear(None, 6), final=keep(CELL + " method", VALUES, "linear")),
     "linear_fill_supplier_days": chain(
         SUPPLIER_DAYS, GRID, linear(None, 6), final=keep(CELL + " method", VALUES, "linear")

@@ -3,14 +3,19 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from brute import random_panel
+from gapweave.operators.linear import fill_linear
+from gapweave.operators.ratio import fill_ratio
 from gapweave.sources.extract import extract_alternating, extract_total
 from gapweave.sources.panel_io import (
     headers,
     infer_csv_schema,
     jdbc_options,
     read_panel_csv,
+    read_panel_table,
     write_panel_csv,
     write_panel_parquet,
+    write_panel_table,
 )
 from gapweave.spec import PANEL, Schedule
 from gapweave.storage import materialize, work_folder
@@ -139,3 +144,31 @@ def test_headers_are_first_lines(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     names = {k: sorted(int(f.rsplit("/f", 1)[1].split(".")[0]) for f in v) for k, v in found.items()}
     assert names == {("a", "b"): [0, 3, 6, 9], ("b", "a"): [1, 2, 4, 5, 7, 8, 10, 11]}
+
+
+@pytest.mark.parametrize("span", [1024, 5])
+def test_fills_of_a_panel_stored_by_series(spark, panel, tmp_path, span):
+    """The same values, and no row of the panel is shuffled for the linear fill."""
+    p = panel(random_panel(6, species=4))
+    name = f"stored_{span}"
+    write_panel_table(p, name, buckets=3, path=str(tmp_path / name))
+    table, spec = read_panel_table(spark, name, PANEL.with_(block_span=span))
+    assert spec.buckets == 3 and spec.extent is not None and sorted_rows(table.select(p.columns)) == sorted_rows(p)
+    plain = PANEL.with_(block_span=span).measured(p)
+    for fill, options in ((fill_linear, {}), (fill_ratio, {"targets": ["A", "B"], "start": -99})):
+        got, want = fill(table, spec, **options), fill(p, plain, **options)
+        assert sorted_rows(got.select(want.columns)) == sorted_rows(want)
+    plan = fill_linear(table, spec)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    shuffles = [x for x in plan.split("\n\n") if ") Exchange" in x]
+    # nothing but keys, times and, with several blocks, one row per block
+    assert shuffles and not any("rpn_var" in x for x in shuffles)
+    if span == 1024:
+        assert not any("rpn" in x for x in shuffles)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_tables_by_other_columns_are_refused(spark, panel, tmp_path):
+    panel(ROWS).write.bucketBy(2, "strata").option("path", str(tmp_path / "t")).saveAsTable("by_area")
+    with pytest.raises(ValueError, match="not stored by"):
+        read_panel_table(spark, "by_area")
+    spark.sql("DROP TABLE by_area")
