@@ -47,6 +47,13 @@ HEADLINE = (
     "linear_fill_supplier_days",
     "ar1_predict_daily",
     "segment_index",
+    "ar1_filter_supplier_days",
+    "ar1_filter_demeaned",
+    "ar1_predict_demeaned",
+    "ar1_predict_demeaned_daily",
+    "compare_methods_estimated",
+    "csv_inferred",
+    "linear_fill_stored",
 )
 
 
