@@ -18,6 +18,7 @@ from gapweave.operators.ar1 import (
     obs_pred_table,
     observation_limits,
 )
+from gapweave.operators.asof import join_asof
 from gapweave.operators.grid import complete_grid, complete_range, pivot_area, unpivot_area
 from gapweave.operators.index import reconcile, total_index
 from gapweave.operators.interpolate import interpolate
@@ -466,6 +467,23 @@ def q_compare_methods_estimated(spark, folder):
     return _rounded(out.scores)
 
 
+def _asof(p: DataFrame, spec: PanelSpec, every: int, **options) -> DataFrame:
+    """Target areas beside the neighbour's values, which are known at some times only."""
+    observed = p.where(F.col("strata").isin(*TARGETS)).select("species", "strata", "year", "rpn")
+    known = (F.col("strata") == NEIGHBOUR) & (F.col("year") % every == 0)
+    external = p.where(known).select("species", "year", F.col("rpn").alias("near_rpn"), F.col("rpw").alias("near_rpw"))
+    return _rounded(join_asof(observed, external, spec, on=["species"], columns=["near_rpn", "near_rpw"], **options))
+
+
+def q_asof_nearest(spark, folder):
+    return _asof(*_suppliers(spark, folder), 3, direction="nearest")
+
+
+def q_asof_daily(spark, folder):
+    """Over several blocks, and not from further away than six days."""
+    return _asof(*_stored(daily_panel(spark, folder)), 10, direction="backward", tolerance=6)
+
+
 # --- AR(1) model ----------------------------------------------------------------------
 
 

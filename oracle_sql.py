@@ -205,6 +205,10 @@ ltmean as (
   select species, year, 'AMERICA', b, 'ltmean' from pairs_b where year >= 1996)"""
 
 
+def external(every: int) -> str:
+    return f"external as (select * from panel where strata = 'ASIA' and year % {every} = 0)"
+
+
 # --- AR(1) model ----------------------------------------------------------------------
 
 
@@ -499,6 +503,25 @@ ORACLE: dict[str, str] = {
         final=keep(CELL, "rpn rpw", "lines"),
     ),
     "linear_fill": chain(PANEL, GRID, LINEAR, final=keep(CELL + " method", VALUES, "linear")),
+    "asof_nearest": chain(
+        PANEL,
+        external(3),
+        f"""met as (
+          select o.species, o.strata, o.year, o.rpn, e.year as matched_time, e.rpn as near_rpn, e.rpw as near_rpw,
+            row_number() over (partition by o.species, o.strata, o.year order by abs(o.year - e.year), e.year) as nth
+          from panel o left join external e on o.species = e.species where o.strata in {TARGETS})""",
+        final=keep("species strata year matched_time", "rpn near_rpn near_rpw", "met where nth = 1"),
+    ),
+    "asof_daily": chain(
+        DAYS,
+        external(10),
+        f"""met as (
+          select o.species, o.strata, o.year, o.rpn, e.year as matched_time, e.rpn as near_rpn, e.rpw as near_rpw,
+            row_number() over (partition by o.species, o.strata, o.year order by e.year desc) as nth
+          from panel o left join external e on o.species = e.species and e.year between o.year - 6 and o.year
+          where o.strata in {TARGETS})""",
+        final=keep("species strata year matched_time", "rpn near_rpn near_rpw", "met where nth = 1"),
+    ),
     "linear_fill_stored": chain(PANEL, GRID, LINEAR, final=keep(CELL + " method", VALUES, "linear")),
     "linear_fill_daily": chain(DAYS, GRID, linear(None, 6), final=keep(CELL + " method", VALUES, "linear")),
     "linear_fill_supplier_days": chain(
