@@ -22,6 +22,7 @@ from gapweave.operators.asof import join_asof
 from gapweave.operators.grid import complete_grid, complete_range, pivot_area, unpivot_area
 from gapweave.operators.index import reconcile, total_index
 from gapweave.operators.interpolate import interpolate
+from gapweave.operators.intervals import join_intervals
 from gapweave.operators.linear import cv_table, fill_linear
 from gapweave.operators.project import drop_like, select_like
 from gapweave.operators.ratio import assign_mean_cv_variance, fill_ratio, lag_first_default
@@ -484,6 +485,16 @@ def q_asof_daily(spark, folder):
     return _asof(*_stored(daily_panel(spark, folder)), 10, direction="backward", tolerance=6)
 
 
+def q_interval_closures(spark, folder):
+    """Daily values of the target areas and the spans of days, of very unequal length, that they lie in."""
+    p, spec = _stored(daily_panel(spark, folder))
+    first = F.col("year").alias("start")
+    last = (F.col("year") + F.pmod(F.col("year"), F.lit(70)) + F.col("rpn").cast("int")).alias("end")
+    spans = p.where(F.col("year") % 25 == 0).select("species", "strata", first, last, F.col("rpw").alias("level"))
+    observed = p.where(F.col("strata").isin(*TARGETS)).select("species", "strata", "year", "rpn")
+    return _rounded(join_intervals(observed, spans, spec, columns=["level"]))
+
+
 # --- AR(1) model ----------------------------------------------------------------------
 
 

@@ -522,6 +522,17 @@ ORACLE: dict[str, str] = {
           where o.strata in {TARGETS})""",
         final=keep("species strata year matched_time", "rpn near_rpn near_rpw", "met where nth = 1"),
     ),
+    "interval_closures": chain(
+        DAYS,
+        """spans as (
+          select species, strata, year as start, cast(year + year % 70 + cast(rpn as int) as int) as end, rpw as level
+          from panel where year % 25 = 0)""",
+        f"""met as (
+          select o.species, o.strata, o.year, o.rpn, s.start, s.end, s.level
+          from panel o left join spans s on o.species = s.species and o.strata = s.strata and o.year between s.start and s.end
+          where o.strata in {TARGETS})""",
+        final=keep("species strata year start", "rpn level", "met").replace("start,", 'start, "end",'),
+    ),
     "linear_fill_stored": chain(PANEL, GRID, LINEAR, final=keep(CELL + " method", VALUES, "linear")),
     "linear_fill_daily": chain(DAYS, GRID, linear(None, 6), final=keep(CELL + " method", VALUES, "linear")),
     "linear_fill_supplier_days": chain(
