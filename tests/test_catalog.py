@@ -28,7 +28,8 @@ def test_query(spark, db, name):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     assert got
     if name not in entry_points.oracle_sql():
-        assert name == "ar1_mle_fit"
+        # parameters are free on a ridge: their queries have no SQL, their objective has
+        assert name in ("ar1_mle_fit", "ar1_fill_mle", "compare_methods_mle")
         return
     result = db.execute(entry_points.oracle_sql()[name])
     names = [d[0] for d in result.description]
