@@ -7,7 +7,7 @@ of the bytes that follow, so records are found by length, never by searching for
 The fields are split from the right: an old URL may hold blanks.
 
 WARC. Per ARC record the converter synthesises a record id (a UUID of the archive's name,
-offset and digest, hence the same in every run), the date, the type and the digests. Of
+offset and digest, hence the same when the same archive is converted again), the date, the type and the digests. Of
 records with equal payloads of at least ``least`` bytes the one with the largest page number
 is the response, the others are revisits of it without payload.
 
@@ -21,8 +21,10 @@ all records share.
 
 Defined results: a null html is an empty payload; a null url is written as ``about:blank``;
 blanks and control characters of a url are percent-coded; repeated rows are records of
-their own, equal in all but their place, and the first is the response; an empty table gives
-empty archives. A record cut short by the end of its file is an error.
+their own, equal in all but their place, and of those with the largest page number the one
+with the largest record id is the response; pages without a number come after all others; an
+empty table gives empty archives; further columns are not written. A page's payload is held
+whole by its task. A record cut short by the end of its file is an error.
 """
 
 from __future__ import annotations

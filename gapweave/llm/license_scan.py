@@ -10,7 +10,8 @@ Templates are a short constant table in the plan; there is no join and no shuffl
 
 Defined results: null and empty texts match nothing; a line of one word has no bigrams and
 matches nothing; a line that repeats is reported each time; a line that matches several
-templates gives a row for each. Row ``line`` 0 is the whole text, if it has several lines.
+templates gives a row for each, also if they are equally alike; an empty table gives no rows.
+A notice spread over several lines is found only if it is the whole text. Row ``line`` 0 is the whole text, if it has several lines.
 Columns with the names of results or work columns (``_norm``, ``_u``, ``_body``) are replaced
 or dropped.
 """

@@ -6,7 +6,11 @@ and the end mark of assistant turns. All else in a completion is masked.
 
 Defined results: turns are equal if role and text are, nulls being equal to nulls; null
 text is rendered as empty, a null role as ``user``; equal conversations leave two empty
-completions; marks inside a text are broken by a blank so that no text can end a turn.
+completions; marks inside a text are broken by a blank so that no text can end a turn. Turns
+of one number are ordered by role, then text, nulls first, and a repeated turn is a turn of its
+own; texts are rendered whole. Empty tables give no pairs. ``reply_pairs`` reads its four
+columns only; ``format_preferences`` keeps further ones, but for the names of its results and
+``_c``, ``_r``, ``_p`` and ``_n``, which are replaced or dropped.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ policy's rules. Which documents a rule alone costs is read from the bits, withou
 at the texts again.
 
 Defined results: a null text is an empty one, with all measurements 0; it fails
-``few_words``. A repeated row is judged like any other. Further columns are left as they
-are, those with the names of measurements are replaced.
+``few_words``. A repeated row is judged like any other, and a very long text whole. An empty
+table gives an empty ledger. Further columns are left as they are; those with the names of
+measurements, ``failed``, ``_w`` or ``_l`` are replaced or dropped.
 """
 
 from __future__ import annotations
