@@ -101,20 +101,39 @@ def next_row(df: DataFrame, keys: Sequence[str], spec: PanelSpec, outputs: dict[
     return df.drop("_adjacent", "_edge", BLOCK)
 
 
+def salted(rows: DataFrame, spread: Sequence[str]) -> DataFrame:
+    """Spread rows over sub-groups by a hash of columns, as many as there are shuffle partitions."""
+    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+
+
+def subgroups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sub-groups that occur in salted rows."""
+    return rows.select(*keys, SALT).distinct()
+
+
 def join_on_group(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread: Sequence[str], missing: str | None = None
+    rows: DataFrame,
+    groups: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    missing: str | None = None,
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to a table with one row per ``keys``.
 
     A group may own a large part of ``rows``, so each group is spread over sub-groups by a
     hash of the ``spread`` columns, as many as the session has shuffle partitions, which is
-    set by the size of the data. Spark broadcasts ``groups`` when its size allows; this is
-    the way beyond that. Rows without a group are left out, or, given ``missing``, are an
-    error with that message.
+    set by the size of the data. ``groups`` is copied only to sub-groups that occur, so there
+    are never more copies than rows; Spark broadcasts either table when its size allows. Rows
+    without a group are left out, or, given ``missing``, are an error with that message.
+
+    Given ``used``, the stored :func:`subgroups` of rows that are :func:`salted` already, the
+    rows are not read for them again.
     """
-    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    left = rows.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = groups.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = salted(rows, spread) if used is None else rows
+    used = subgroups(left, keys) if used is None else used
+    right = used.join(groups, list(keys))
     if missing is None:
         return left.join(right, [*keys, SALT]).drop(SALT)
     out = left.join(right.withColumn(FOUND, F.lit(True)), [*keys, SALT], "left")
