@@ -80,7 +80,7 @@ def filtered(ends: np.ndarray, rows: Rows, first: int, last: int, state: dict[st
     return out
 
 
-def _pieces(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+def pieces(ends: np.ndarray) -> Iterator[tuple[int, int]]:
     """Stretches of blocks with at most ``CELLS`` rows, or one block."""
     first = 0
     while first < len(ends) - 1:
@@ -111,7 +111,7 @@ def _over_batches(
             state = {c: column(c).to_numpy(zero_copy_only=False).astype(float) for c in numbers}
             own = [column(c) for c in kept]
             with np.errstate(all="ignore"):
-                for first, last in _pieces(ends):
+                for first, last in pieces(ends):
                     out = work(ends, t, rows, first, last, state)
                     yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in own), *out], names=names)
 

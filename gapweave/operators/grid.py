@@ -22,6 +22,7 @@ RUN = "_run"
 OFFSET = "_offset"
 CONTEXT = "_context"
 COUNT = "_count"
+KNOWN = "_known"
 STRIP = 1000  # rows of the smaller side of a product that meet a strip of the other side
 
 
@@ -201,6 +202,29 @@ def grid_blocks(
     return grid.select("*", *(F.col(CONTEXT)[c].alias(c) for c in context)).drop(CONTEXT)
 
 
+def grid_lists(
+    df: DataFrame, spec: PanelSpec, *, start: int | None = None, contexts: Sequence[Context] = ()
+) -> DataFrame:
+    """The completed grid with one row per ``(keys, area, block)``, its cells not yet told apart.
+
+    ``_run`` has the grid times of the block in order and ``_known`` its data rows by time;
+    ``_offset`` and the columns of ``contexts`` are NULL for rows whose key is unknown, which
+    have no grid. Repeated cells are for the reader to refuse.
+    """
+    rows = df if start is None else df.where(F.col(spec.time) >= start)
+    series = df.select(*spec.series).distinct()
+    cells, context = _series_blocks(rows, series, as_runs(observed_times(df, spec, start), spec), spec, contexts)
+    values = [c for c in rows.columns if c not in spec.cell]
+    known = add_block(rows, spec).select(*spec.series, BLOCK, F.struct(spec.time, *values).alias(KNOWN))
+    # Stacked and folded per block, as unknown keys are to meet, which they do not in a join.
+    both = cells.unionByName(known, allowMissingColumns=True).repartition(*spec.series, BLOCK)
+    once = [F.first(c, ignorenulls=True).alias(c) for c in (OFFSET, RUN, CONTEXT) if c in both.columns]
+    out = both.groupBy(*spec.series, BLOCK).agg(*once, F.sort_array(F.collect_list(KNOWN)).alias(KNOWN))
+    own = F.transform(KNOWN, lambda x: F.struct(x[spec.time].alias(spec.time)))
+    out = out.withColumn(RUN, F.coalesce(F.col(RUN), own))
+    return out.select(*spec.series, BLOCK, OFFSET, RUN, KNOWN, *(F.col(CONTEXT)[c].alias(c) for c in context))
+
+
 def complete_grid(df: DataFrame, spec: PanelSpec = PANEL, *, nesting: bool = True, **options) -> DataFrame:
     """Add a row for every observed time of a key in each of its areas.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gapweave.functions.scalars import cv, var_from_cv
-from gapweave.operators.grid import grid_blocks
+from gapweave.operators.grid import grid_blocks, grid_lists
 from gapweave.operators.interpolate import abscissa, interpolate_blocks, interpolation_context
+from gapweave.operators.interpolate_batches import interpolate_lists
 from gapweave.spec import PANEL, PanelSpec
 
 
@@ -34,8 +35,14 @@ def fill_linear(
     cvs = {spec.cv(m): cv(m, spec.var(m)) for m in spec.measures}
     columns, x = [c for m in spec.measures for c in (m, spec.cv(m))], abscissa(by, spec)
     context = interpolation_context(columns, spec, x)
-    rows = grid_blocks(df.withColumns(cvs), spec, start=start, contexts=[context])
-    rows = interpolate_blocks(rows, spec.series, spec, columns, x=x, maxgap=maxgap)
+    if spec.one_block or spec.buckets:
+        rows = grid_blocks(df.withColumns(cvs), spec, start=start, contexts=[context])
+        rows = interpolate_blocks(rows, spec.series, spec, columns, x=x, maxgap=maxgap)
+    else:
+        values = [*columns, *(spec.var(m) for m in spec.measures)]
+        lists = df.withColumns(cvs).select(*spec.cell, *(F.col(c).cast("double").alias(c) for c in values))
+        lists = grid_lists(lists, spec, start=start, contexts=[context])
+        rows = interpolate_lists(lists, spec, columns, values, x=x, maxgap=maxgap)
     rows = rows.withColumns(
         {spec.var(m): F.coalesce(F.col(spec.var(m)), var_from_cv(spec.cv(m), m)) for m in spec.measures}
     )

@@ -227,3 +227,28 @@ def test_share_fill_refuses_repeated_cells(panel):
     p = panel([("s", 1, "A", 10), ("s", 1, "A", 30), ("s", 2, "B", 5)])
     with pytest.raises(Exception, match="repeated cell: s, 1"):
         fill_ltmean(p, pair=("A", "B")).collect()
+
+
+def test_linear_fill_of_blocks_keeps_rows_of_unknown_areas_once(spark):
+    rows = [("a", y, area, float(y), 1.0) for y in (0, 1, 4, 9, 12, 13) for area in ("x", None) if (y + len(area or "")) % 3]
+    rows += [(None, 3, "x", 2.0, None)]
+    df = spark.createDataFrame(rows, "species string, year int, strata string, rpn double, rpn_var double")
+    spec = PANEL.with_(measures=("rpn",), block_span=4)
+    out = fill_linear(df, spec).collect()
+    cells = {(r.species, r.strata, r.year) for r in out}
+    grid = {r[1] for r in rows if r[0] == "a"}
+    assert len(out) == len(cells) == 2 * len(grid) + 1
+    given = {(r[0], r[2], r[1]): r[3] for r in rows}
+    # only areas that are known are filled
+    assert all(r.rpn == given.get((r.species, r.strata, r.year)) for r in out if r.strata is None or r.species is None)
+    assert all(r.rpn is not None for r in out if r.strata == "x" and r.species == "a")
+
+
+def test_linear_fill_of_blocks_makes_cells_where_they_are_filled(spark, panel):
+    spec = PANEL.with_(block_span=4)
+    df = panel([("a", y, s, 1.0 + y, 1.0) for y in range(12) for s in ("x", "y") if (y + len(s)) % 3])
+    plan = fill_linear(df, spec)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "MapInArrow" in plan
+    again = df.unionByName(df.where("year = 6 and strata = 'x'"))
+    with pytest.raises(Exception, match="repeated cell: a, x, 6"):
+        fill_linear(again, spec).collect()
