@@ -1,6 +1,7 @@
 """Token-id files, spelling variants and the filter audit beside plain Python."""
 
 import itertools
+import json
 import os
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,49 @@ def test_pieces_are_forgotten_in_turn(monkeypatch):
     assert [encoder.encode([t])[0] for t in texts] == want
 
 
+class Counted:
+    """A tokenizer that counts the characters it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.sent = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.sent += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_a_word_is_encoded_once_whatever_marks_and_lines_end_it():
+    with open(BPE, encoding="utf-8") as f:
+        encoder = ids.Encoder(f.read())
+    words = [f"wörd{chr(97 + i % 26)}{chr(97 + i // 26)}ing" for i in range(300)]
+    texts = ["So " + " ".join(w + end for w in words) for end in ("", ".", "###", "),", "$$$;", ".\nThen")]
+    want = [encoder._whole([t])[0] for t in texts]
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    assert encoder.encode(texts) == want
+    assert counted.sent < 2 * sum(map(len, words))
+    sent = counted.sent
+    assert encoder.encode(texts[::-1]) == want[::-1] and counted.sent == sent
+    rows = pa.array(texts[:5], pa.large_string())
+    assert encoder._spaced(rows, step=7) == want[:5]
+
+
+def test_texts_of_one_kind_alone():
+    with open(BPE, encoding="utf-8") as f:
+        encoder = ids.Encoder(f.read())
+    for texts in ([], [""], ["", " "], ["a  b\t c", "\n  x"], ["a\x1cb", "\x85 y"], [" a", "b ", "\n\nc d\n"], ["it's 'so', he's' \"'s\"."]):
+        assert encoder.encode(texts) == encoder._whole(texts)
+
+
+def test_words_are_not_cut_within_added_tokens():
+    with open(BPE, encoding="utf-8") as f:
+        made = json.load(f)
+    made["added_tokens"] += [{**made["added_tokens"][0], "id": 50257 + i, "content": c} for i, c in enumerate(["U.S.", "x#"])]
+    encoder, plain = ids.Encoder(json.dumps(made)), Tokenizer.from_str(json.dumps(made))
+    texts = ["in the U.S. and U.S., the U.S.A.", "x# ax# x## x. x, U.S.", "U.S.\nx#\nend."]
+    for text, raw in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(raw, encoder.type).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n, top, block", [(0, 5, 64), (1, 1, 64), (700, 9, 64), (5000, 50000, 512), (512, 3, 512)])
 def test_file_answers_as_the_list(n, top, block):
     rng = np.random.default_rng(n)
