@@ -95,6 +95,50 @@ def test_a_word_is_encoded_once_whatever_marks_and_lines_end_it():
     assert encoder._spaced(rows, step=7) == want[:5]
 
 
+def test_a_word_is_encoded_once_whatever_marks_and_lines_precede_it():
+    with open(BPE, encoding="utf-8") as f:
+        encoder = ids.Encoder(f.read())
+    words = [f"wörd{chr(97 + i % 26)}{chr(97 + i // 26)}ing" for i in range(40)]
+    texts = [" ".join(a + mark + b for a in words for b in words) for mark in "-/.\n"]
+    want = [encoder._whole([t])[0] for t in texts]
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    assert encoder.encode(texts) == want
+    assert counted.sent < 6 * sum(len(w) + 1 for w in words)
+
+
+def test_known_words_take_no_call_each():
+    with open(BPE, encoding="utf-8") as f:
+        encoder = ids.Encoder(f.read())
+    text = " ".join(f"{a}{b}{c}ing" + "., \n"[len(a + b) % 4] for a, b, c in itertools.product("bdfgklmnprst", repeat=3))
+    want, calls = encoder._whole([text]), []
+    assert encoder.encode([text]) == want
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        got = encoder.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert got == want and len(calls) < 1000
+
+
+def test_frequent_words_are_kept(monkeypatch):
+    monkeypatch.setattr(ids, "MOST_PIECES", 8)
+    with open(BPE, encoding="utf-8") as f:
+        encoder = ids.Encoder(f.read())
+    encoder.encode([" often" * 50 + " too" * 40 + "".join(f" rare{c}" for c in "abcdefgh")])
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    assert encoder.encode([" often too"]) == encoder._whole([" often too"])
+    assert counted.sent == len(" often too") and len(encoder.known) == 4
+
+
+def test_long_pieces_are_forgotten(monkeypatch):
+    monkeypatch.setattr(ids, "MOST_BYTES", 1000)
+    with open(BPE, encoding="utf-8") as f:
+        encoder = ids.Encoder(f.read())
+    texts = [f"{chr(0x4E00 + i)}" * 100 for i in range(20)]
+    want = encoder._whole(texts)
+    assert [encoder.encode([t])[0] for t in texts] == want and encoder.known.nbytes < 2000
+
+
 def test_texts_of_one_kind_alone():
     with open(BPE, encoding="utf-8") as f:
         encoder = ids.Encoder(f.read())
